@@ -60,19 +60,36 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return cp, at
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the index of each text's first word (one entry more than texts)."""
+def _spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last character of each word, where the texts begin, and the sums and inverse powers that hash any span."""
     cp, at = code_points([t.lower() for t in texts])
     cp, at = (cp, at) if len(cp) == at[-1] else code_points(texts)
-    inside = word_table()[cp].view(np.int8)
-    edge = np.flatnonzero(np.diff(inside, prepend=0))
-    begin, end = edge[0::2], edge[1::2]
+    edge = np.flatnonzero(np.diff(word_table()[cp].view(np.int8), prepend=0))
     up, down = powers(len(cp))
     total = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(cp.astype(np.uint64) * up, out=total[1:])
+    return edge[0::2], edge[1::2], at, total, down
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the index of each text's first word (one entry more than texts)."""
+    begin, end, at, total, down = _spans(texts)
     return mix((total[end] - total[begin]) * down[begin]), np.searchsorted(begin, at)
 
 
+def word_and_prefix_hashes(texts: list[str], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the proper prefixes of the given lengths, and the text of each."""
+    begin, end, at, total, down = _spans(texts)
+    text = np.searchsorted(at, begin, side="right") - 1
+    h, of = [mix((total[end] - total[begin]) * down[begin])], [text]
+    for k in lengths:
+        long = end - begin > k
+        b = begin[long]
+        h.append(mix(((total[b + k] - total[b]) * down[b]) ^ _STEP))
+        of.append(text[long])
+    return np.concatenate(h), np.concatenate(of)
+
+
 def shingle_hashes(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's runs of k words, and the index of the text of each. A text of fewer words, but not none, has one."""
     words, at = word_hashes(texts)
