@@ -50,7 +50,7 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
     key = F.lit(None).cast("long")
     for n in lengths:
         key = F.when(F.col("n") == n, _key(own, F.lit(0), n)).otherwise(key)
-    win = win.select(key.alias("key"), F.col("n").alias("win_n"), F.col("words").alias("win_words"), "item_ids")
+    win = win.select(key.alias("key"), F.col("n").alias("win_n"), F.array_join("words", " ").alias("win_text"), "item_ids")
     few = win.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
 
     d = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.monotonically_increasing_id().alias("rid"), _words(F.col("text"), NOT_WORD_ANY_CASE).alias("words"))
@@ -66,14 +66,15 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
         d = d.where("at = -1").withColumn("key", F.lit(None).cast("long"))
     d = d.where("at = -1 or key is not null")
     d = d.join(F.broadcast(win) if few else win, "key", "left").where("at = -1 or win_n is not null")
-    found = F.transform(F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.coalesce("win_n", F.lit(0))), _ascii_lower)
-    d = d.withColumn("hit", F.when((F.col("at") >= 0) & (found == F.col("win_words")), F.struct("at", "win_n")))
-    d = d.where("at = -1 or hit is not null")
+    # No lambda function up to here: it would leave the code-generated stage, and every window would carry its document.
+    found = _ascii_lower(F.array_join(F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.coalesce("win_n", F.lit(0))), " "))
+    d = d.withColumn("hit", F.when((F.col("at") >= 0) & (found == F.col("win_text")), F.struct("at", "win_n")))
+    d = d.select(F.when(F.col("at") == -1, F.col("row")).alias("row"), "rid", "n_words", "hit", F.when(F.col("hit").isNotNull(), F.col("item_ids")).alias("item_ids"))
     out = d.groupBy("rid").agg(
-        F.max(F.when(F.col("at") == -1, F.col("row"))).alias("row"),
+        F.max("row").alias("row"),
         F.max("n_words").alias("n_words"),
         F.collect_set("hit").alias("hits"),
-        F.flatten(F.collect_set(F.when(F.col("hit").isNotNull(), F.col("item_ids")))).alias("item_ids"),
+        F.flatten(F.collect_set("item_ids")).alias("item_ids"),
     )
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["win_n"] - 1))))
     return out.select("row.*", F.col("n_words").cast("long").alias("n_words"), hit.alias("hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
@@ -100,3 +101,17 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: documents without a hit word, with all their columns."""
     return marked(docs, items, docs.columns).where(F.size("hit") == 0).select(*docs.columns)
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bi),
+di AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
+h AS (SELECT rid, i, n, item_id FROM (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM di) JOIN bw USING (n, g)),
+p AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS at FROM h) GROUP BY rid),
+t AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
+"""
