@@ -110,7 +110,7 @@ bi AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) -
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM bi),
 di AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
 h AS (SELECT rid, i, n, item_id FROM (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM di) JOIN bw USING (n, g)),
-p AS (SELECT rid, count(DISTINCT at) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS at FROM h) GROUP BY rid),
+p AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS pos FROM h) GROUP BY rid),
 t AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (rid) LEFT JOIN t USING (rid)
