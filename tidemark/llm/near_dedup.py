@@ -9,9 +9,12 @@ that occur once, it is the Jaccard index of the shingle sets. Steps:
    to their index.
 2. Equal texts are one node from here on. Bands of ROWS registers make buckets; a pair at the threshold of 0.8 shares
    none of the BANDS buckets with a chance of about 3 in a million.
-3. Of each bucket, all nodes are compared with its least node, not with each other.
-4. After components are known, nodes outside a bucket's largest component are compared with those of the bucket that are in
-   other components. So every two similar nodes of a bucket end up in one class, and pairs inside a class cost nothing.
+3. A node's centrality is the sum of its buckets' sizes: in a group of edited copies, the copy with the fewest edits is the
+   most central, and nearest to all. Of each bucket, all nodes are compared with the most and the least central one,
+   not with each other.
+4. After components are known, each bucket that still holds several takes the most central node outside its largest component
+   and compares it with those in other components. So work is linear in the buckets' sizes, however large a group of copies is. A
+   link is lost only if both its ends miss each of the three nodes in all the buckets they share and no chain joins them.
 5. A comparison takes an estimate from the signatures (below ESTIMATE it ends; 0.8 is about 5 deviations away), then the exact index.
 """
 
@@ -33,6 +36,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.6
+BROADCAST_NODES = 500_000  # of 16 bytes; more are joined by a shuffle of the texts
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,12 +136,17 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIR = "a binary, b binary"
 
 
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+
+
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs that are similar, written to the shared folder."""
     p = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     p = p.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = keep(p.mapInArrow(_likely, PAIR), "likely")
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     # Equal texts meet here; only one row of each goes on.
     one = keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
     p = likely.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -188,21 +197,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts, signed = _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sigs = keep(signed.select("node", "sig", "buckets").dropDuplicates(["node"]), "nodes")
     member = sigs.select("node", F.explode("buckets").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     member = keep(member.join(shared, "bucket"), "buckets")
-    first = _confirm(member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), sigs, texts)
+    member = member.join(member.groupBy("node").agg(F.sum("n").alias("central")), "node")
+    member = keep(member.select("bucket", "node", F.struct("central", "node").alias("rank")), "members")
+    ends = member.groupBy("bucket").agg(F.max("rank").alias("top"), F.min("rank").alias("end"))
+    pairs = member.join(ends, "bucket").select("node", F.explode(F.array("top.node", "end.node")).alias("lead"))
+    first = _confirm(_pairs(pairs), sigs, texts)
 
     root = components(first)
-    wide = member.where("n > 2").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    wide = keep(wide.select("bucket", "node", "least", "root"), "wide")
+    wide = keep(member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide")
     sizes = wide.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    outside = wide.join(main, "bucket").where("root <> main and node <> least")
-    other = wide.where("node <> least").select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = outside.select("bucket", F.col("node").alias("a"), "root", "main").join(other, "bucket")
-    # A pair of two outside nodes comes once
-    rest = rest.where("root <> root_b and (root_b = main or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = _confirm(rest, sigs, texts)
+    lead = wide.join(main, "bucket").where("root <> main").groupBy("bucket").agg(F.max(F.struct("rank", "root")).alias("lead"))
+    pairs = wide.join(lead, "bucket").where("root <> lead.root").select("node", F.col("lead.rank.node").alias("lead"))
+    second = _confirm(_pairs(pairs), sigs, texts)
     root = components(first.unionByName(second)) if second.limit(1).count() else root
 
     node = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
