@@ -42,7 +42,7 @@ def _key(hashes: Column, at: Column, n: int) -> Column:
 
 
 def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns of every document row, n_words, hit (array of the positions of hit words, from 0), item_ids (sorted)."""
+    """Of every document row: row (a struct of the carried columns), n_words, hit (array of the positions of hit words, from 0), item_ids (sorted)."""
     win = windows(items)
     lengths = sorted(r.n for r in win.select("n").distinct().collect())  # at most WINDOW
     # Whether a window's words have the hash that a document's words would have: lower() joins more than A-Z, never less.
@@ -77,7 +77,7 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
         F.flatten(F.collect_set("item_ids")).alias("item_ids"),
     )
     hit = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["win_n"] - 1))))
-    return out.select("row.*", F.col("n_words").cast("long").alias("n_words"), hit.alias("hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
+    return out.select("row", F.col("n_words").cast("long").alias("n_words"), hit.alias("hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     m = marked(docs, items, ["doc_id"])
     return m.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         F.size("hit").cast("long").alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
@@ -100,7 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: documents without a hit word, with all their columns."""
-    return marked(docs, items, docs.columns).where(F.size("hit") == 0).select(*docs.columns)
+    return marked(docs, items, docs.columns).where(F.size("hit") == 0).select("row.*")
 
 
 SQL = rf"""

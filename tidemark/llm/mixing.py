@@ -199,6 +199,6 @@ def take(docs: DataFrame) -> DataFrame:
     unit = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.col("source").cast("string"), F.lit("\0")))
     d = docs.select(unit.alias("unit"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     d = d.groupBy("unit", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    m = mix(d).where("copies > 0").select(F.col("unit").alias("__tm_unit"), "copies")
+    m = mix(d).where("copies > 0").select(F.col("unit").alias("__tm_unit"), F.col("copies").alias("__tm_copies"))
     out = docs.withColumn("__tm_unit", unit).join(m, "__tm_unit")
-    return out.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return out.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("__tm_copies").cast("int")))).select(*docs.columns)
