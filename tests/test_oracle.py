@@ -1,5 +1,7 @@
 """Every query of the market engine against DuckDB on the same tables."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -14,7 +16,7 @@ def rows(df):
     cols = sorted(df.columns)
     out = []
     for r in df[cols].itertuples(index=False):
-        out.append(tuple("null" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, Number) else str(v) for v in r))
     return cols, sorted(out)
 
 

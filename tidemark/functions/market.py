@@ -18,7 +18,7 @@ def daily_bars(lineitem: DataFrame) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("v"),
     )
     return trades.groupBy("symbol", "day").agg(
-        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
+        F.min(F.struct("seq", "price"))["price"].alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max(F.struct("seq", "price"))["price"].alias("close"),
         F.sum("q").alias("volume"), (F.sum("v") / F.sum("q")).alias("vwap"), F.sum("v").alias("market_cap"), F.count("*").alias("tick_count"),
     )
 

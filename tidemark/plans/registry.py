@@ -15,7 +15,7 @@ from ..operators import features, feed, risk
 BARS = """
 trades AS (SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS price, l_orderkey * 10 + l_linenumber AS seq,
   l_quantity AS q, l_extendedprice AS v FROM lineitem WHERE l_quantity > 0),
-bars AS (SELECT symbol, day, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, sum(q) AS volume, sum(v) / sum(q) AS vwap,
+bars AS (SELECT symbol, day, min(struct_pack(s := seq, p := price)).p AS open, max(price) AS high, min(price) AS low, max(struct_pack(s := seq, p := price)).p AS close, sum(q) AS volume, sum(v) / sum(q) AS vwap,
   sum(v) AS market_cap, count(*) AS tick_count FROM trades GROUP BY ALL),
 rets AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY day), 0) - 1 AS ret FROM bars)"""
 ROLL = """,
@@ -70,9 +70,9 @@ def _round(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: rounded(F.col(c), places) for c in cols})
 
 
-@query(f"WITH {BARS} SELECT symbol, day, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume, round(vwap, 6) + 0.0 AS vwap, tick_count FROM bars")
+@query(f"WITH {BARS} SELECT symbol, day, round(open, 9) + 0.0 AS open, round(high, 9) + 0.0 AS high, round(low, 9) + 0.0 AS low, round(close, 9) + 0.0 AS close, round(volume, 9) + 0.0 AS volume, round(vwap, 9) + 0.0 AS vwap, tick_count FROM bars")
 def bars_daily(spark, d):
-    return _round(_bars(spark, d), "open", "high", "low", "close", "volume", "vwap").drop("market_cap")
+    return _round(_bars(spark, d), "open", "high", "low", "close", "volume", "vwap", places=9).drop("market_cap")
 
 
 @query(f"WITH {BARS} SELECT symbol, day, round(ret, 8) + 0.0 AS ret FROM rets")
@@ -108,11 +108,11 @@ def lottery_features(spark, d):
 
 
 @query(
-    f"""WITH {BARS} SELECT symbol, day, round(close, 6) + 0.0 AS close, round(CASE WHEN count(close) OVER w >= 20 THEN max(close) OVER w END, 6) + 0.0 AS channel_high,
-round(CASE WHEN count(close) OVER w >= 20 THEN min(close) OVER w END, 6) + 0.0 AS channel_low FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"""
+    f"""WITH {BARS} SELECT symbol, day, round(close, 9) + 0.0 AS close, round(CASE WHEN count(close) OVER w >= 20 THEN max(close) OVER w END, 9) + 0.0 AS channel_high,
+round(CASE WHEN count(close) OVER w >= 20 THEN min(close) OVER w END, 9) + 0.0 AS channel_low FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"""
 )
 def donchian_channel(spark, d):
-    return _round(features.donchian(_bars(spark, d)).select("symbol", "day", "close", "channel_high", "channel_low"), "close", "channel_high", "channel_low")
+    return _round(features.donchian(_bars(spark, d)).select("symbol", "day", "close", "channel_high", "channel_low"), "close", "channel_high", "channel_low", places=9)
 
 
 @query(
