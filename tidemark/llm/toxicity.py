@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine from a block-max inverted index, distance-weighted votes, calibrated.
 
-Examples are labelled documents outside the held-out third, PER_CLASS of either label at most, by hash. Terms are words and
+Examples are labelled documents outside the held-out third, about PER_CLASS of either label at most, by hash of the id;
+of a repeated id the least text counts. Terms are words and
 their prefixes of PREFIXES letters. The vocabulary is the terms that
 mark toxic examples (chi-square of at least CHI_SQUARE, in MIN_DF examples or more). Document
 frequencies are counted over all documents. The index keeps each term's postings in blocks of BLOCK examples with the
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fraction, remainder
+from .common import discard, fraction, keep, remainder
 from .text import chunks, counted, word_and_prefix_hashes
 
 PER_CLASS = 1500
@@ -141,16 +142,21 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
     spark = docs.sparkSession
     given = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     given = given.where(remainder(F.col("doc_id"), held_out_of) != held_out)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(given, "doc_id")
-    sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    # Only ids meet the labels in a shuffle, each once; the texts of the few examples drawn are found by a broadcast of their ids.
+    given = keep(given.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    sizes = {r.toxic: r.n for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     rate = (sizes.get(1, 0) + 0.5) / (total + 1)
     none = Model(None, np.zeros(0), np.zeros(0), rate)
     if len(sizes) < 2:
         return none
-    draw = fraction(F.col("doc_id"), F.col("text"))
+    draw = fraction(F.col("doc_id"))
     limit = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
-    got = known.where(draw < limit).mapInArrow(_terms, "doc_id long, toxic int, term array<long>, n array<long>").orderBy("toxic", "doc_id").toArrow()
+    drawn = given.where(draw < limit)  # about per_class rows of either label
+    known = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    got = known.mapInArrow(_terms, "doc_id long, toxic int, term array<long>, n array<long>").orderBy("toxic", "doc_id").toArrow()
+    discard(given)
     toxic = np.asarray(got["toxic"]).astype(float)
     if not 0 < toxic.sum() < len(toxic):
         return none
