@@ -9,7 +9,8 @@ by brute force over all vectors, and the number of leaves is the least that woul
 vectors without structure need many, as in any index of this kind).
 
 A leaf and the queries that opened it meet in one group, whose vectors the depth of the trees bounds; the inner products there
-are exact. A query's K + 1-th best in a small fixed sample bounds its neighbours' products from below, so that few pairs leave a leaf.
+are exact. A query's K + 1-th best in a sample bounds its neighbours' products from below, so that few pairs leave a leaf: the sample
+grows with the table up to SAMPLE, and so far the pairs of a query do not grow.
 
 Equal vectors are one candidate: the K + 1 least ids of a vector stand for it, and no other could be among a query's nearest K.
 """
@@ -34,7 +35,7 @@ TREES = 6
 LEAF = 1000  # vectors in a leaf, about
 SAMPLE = 60_000  # vectors that the trees are grown from
 CALIBRATION, TARGET = 60, 0.95
-FLOOR = 4000  # vectors that give the lower bound
+FLOOR, FLOOR_SHARE = 4000, 4  # vectors that give the lower bound: so many, or that part of all; SAMPLE at most
 SEED = 20_001
 
 
@@ -200,7 +201,7 @@ def nearest(vectors: DataFrame, every: int = 20, trees: int = TREES, leaf: int =
     drawn = _matrix(sample.orderBy(F.xxhash64("id"), "id").select("e").toArrow()["e"].combine_chunks())
     planes, cuts = grow(_augment(drawn, most), depth, trees)
     forest = spark.sparkContext.broadcast((planes, cuts))  # trees * nodes * (dimension + 2) * 4 bytes
-    low = spark.sparkContext.broadcast(drawn[:FLOOR])
+    low = spark.sparkContext.broadcast(drawn[: max(FLOOR, n // FLOOR_SHARE)])
     trial = q.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toArrow()
     if not trial.num_rows:
         return spark.createDataFrame([], result)
@@ -217,8 +218,8 @@ def nearest(vectors: DataFrame, every: int = 20, trees: int = TREES, leaf: int =
 
     def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 x = _matrix(part.column("e"))
                 opened = [list(islice(search(row, *forest.value), visits)) for row in np.hstack((x, np.zeros((len(x), 1)))).astype(np.float32)]
                 s = x @ low.value.T
