@@ -103,6 +103,17 @@ def test_toxicity(spark, odd, none):
     r = toxicity.score(odd, labels).toPandas()
     assert len(r) == 9 and r.score.between(0, 1).all()
     assert toxicity.score(none, labels).count() == 0
+    # One id on many rows is one example, with its least text; other columns and the rows' order play no part.
+    train = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"calm words about gardens {i}" if k % 2 else f"vile insult number {i}") for k, i in enumerate(train)]
+    many = spark.createDataFrame([*rows, *[(train[0], f"vile insult again {j}") for j in range(300)]], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, 1 - k % 2) for k, i in enumerate(train)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(many, marks)
+    assert sorted(model.index.ids.tolist()) == train
+    low, high = [r.score for r in toxicity.score(spark.createDataFrame([(1, "calm words about gardens"), (2, "vile insult number")], "doc_id long, text string"), marks).orderBy("doc_id").collect()]
+    assert low == high  # no labelled text here: the share of toxic labels
+    scored = {r.doc_id: r.score for r in toxicity.score(many, marks).collect()}
+    assert min(scored[i] for i in train[::2]) > 0.7 > 0.3 > max(scored[i] for i in train[1::2])
     rng = np.random.default_rng(5)
     at, example = np.divmod(rng.choice(40 * 300, 2500, replace=False), 300)
     value = rng.random(2500)
