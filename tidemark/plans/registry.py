@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.market import daily_bars, quotes, rounded, table
-from ..operators import features, feed, risk
+from ..operators import features, feed, quality, risk, volatility
 
 BARS = """
 trades AS (SELECT l_returnflag || l_linestatus AS symbol, CAST(l_shipdate AS DATE) AS day, l_extendedprice / l_quantity AS price, l_orderkey * 10 + l_linenumber AS seq,
@@ -235,6 +235,51 @@ def vector_dot(spark, d):
     return _round(table(spark, d, "embeddings").select("vec_id", feed.dot(F.col("embedding"), F.col("embedding")).alias("dot")), "dot")
 
 
+_SEEDED = {
+    "open": "CASE WHEN day(day) = 17 THEN CAST('NaN' AS DOUBLE) ELSE open END",
+    "high": "CASE WHEN day(day) = 7 THEN low - 1 ELSE high END",
+    "close": "CASE WHEN day(day) IN (11, 17) THEN -1.0 ELSE close END",
+    "volume": "CASE WHEN day(day) = 13 THEN -1.0 ELSE volume END",
+}
+SEEDED = f""",
+seeded AS (SELECT * REPLACE ({", ".join(f"{v} AS {k}" for k, v in _SEEDED.items())}) FROM bars),
+x AS (SELECT symbol, day, {", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c[0]}" for c in ("open", "high", "low", "close", "volume"))} FROM seeded),
+q AS (SELECT symbol, day, o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL OR v IS NULL AS number, coalesce(least(o, h, l, c) <= 0, false) AS price,
+  coalesce(v < 0, false) AS volume, coalesce(h < l, false) AS high_low, coalesce(o < l, false) OR coalesce(o > h, false) OR coalesce(c < l, false) OR coalesce(c > h, false) AS outside FROM x)"""
+
+
+def _seeded(spark, d):
+    """Bars of which some days are made to break a rule."""
+    return _bars(spark, d).withColumns({k: F.expr(v).cast("double") for k, v in _SEEDED.items()})
+
+
+@query(
+    f"""WITH {BARS}{SEEDED} SELECT symbol, day, concat_ws(',', CASE WHEN number THEN 'number' END, CASE WHEN price THEN 'price' END, CASE WHEN volume THEN 'volume' END,
+  CASE WHEN high_low THEN 'high_low' END, CASE WHEN outside THEN 'outside' END) AS broken FROM q WHERE number OR price OR volume OR high_low OR outside"""
+)
+def quarantine_split(spark, d):
+    return quality.split(_seeded(spark, d))[1].select("symbol", "day", "broken")
+
+
+@query(
+    f"""WITH {BARS}{SEEDED} SELECT count_if(number)::BIGINT AS number, count_if(price)::BIGINT AS price, count_if(volume)::BIGINT AS volume, count_if(high_low)::BIGINT AS high_low, count_if(outside)::BIGINT AS outside,
+  count_if(number OR price OR volume OR high_low OR outside)::BIGINT AS quarantined, count(*) AS rows FROM q"""
+)
+def quarantine_counts(spark, d):
+    return quality.counts(_seeded(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, day, ret * ret AS q, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM rets WHERE ret IS NOT NULL),
+g AS (SELECT symbol, day, i, greatest({volatility.OMEGA} + {volatility.ALPHA + volatility.BETA} * q, {volatility.FLOOR}) AS v, greatest(q, {volatility.FLOOR}) AS e FROM n WHERE i = 1
+UNION ALL SELECT n.symbol, n.day, n.i, greatest({volatility.OMEGA} + {volatility.ALPHA} * n.q + {volatility.BETA} * g.v, {volatility.FLOOR}), greatest({volatility.DECAY} * g.e + {1 - volatility.DECAY} * n.q, {volatility.FLOOR})
+  FROM g JOIN n ON n.symbol = g.symbol AND n.i = g.i + 1)
+SELECT symbol, day, round(v, 6) + 0.0 AS variance, round(e, 6) + 0.0 AS ewma FROM g"""
+)
+def garch_path(spark, d):
+    return _round(volatility.garch_path(features.returns(_bars(spark, d))), "variance", "ewma")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
