@@ -9,7 +9,7 @@ import pytest
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "lineitem orders events embeddings".split()
+TABLES = "lineitem orders events embeddings documents labels".split()
 
 
 def rows(df):
@@ -20,7 +20,7 @@ def rows(df):
     return cols, sorted(out)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fold import ordered_fold
+
 
 def arrival():
     return Window.partitionBy("symbol").orderBy("ts_us", "seq")
@@ -72,3 +74,20 @@ def mark_to_market(positions: DataFrame, quotes: DataFrame) -> DataFrame:
     q = quotes.select("symbol", "ts_us", F.lit(None).cast("long").alias("pos_id"), "last", F.lit(0).alias("kind"))
     w = Window.partitionBy("symbol").orderBy("ts_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
     return p.unionByName(q).withColumn("mark", F.last("last", ignorenulls=True).over(w)).where("kind = 1").select("symbol", "ts_us", "pos_id", "mark")
+
+
+def add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def jitter_average(quotes: DataFrame, decay: float = 0.95) -> DataFrame:
+    """(symbol, seq, mean_jitter): the exponentially weighted mean of the jitter, 0 before the first; a null jitter leaves it."""
+
+    def step(state, row):
+        mean = 0.0 if state is None else state[0]
+        j = row[3]
+        mean = mean if j is None or j != j else decay * mean + (1 - decay) * j
+        return (mean,), (mean,)
+
+    j = jitter(quotes).select("symbol", "ts_us", "seq", F.col("jitter_us").cast("double").alias("jitter_us"))
+    return ordered_fold(j, ["symbol"], ["ts_us", "seq"], step, "mean_jitter double").select("symbol", "seq", "mean_jitter")
