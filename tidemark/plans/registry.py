@@ -280,7 +280,7 @@ def garch_path(spark, d):
     return _round(volatility.garch_path(features.returns(_bars(spark, d))), "variance", "ewma")
 
 
-from . import evaluation, trading  # noqa: E402, F401  (they register theirs)
+from . import evaluation, streams, tables, trading  # noqa: E402, F401  (they register theirs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
