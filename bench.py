@@ -10,7 +10,7 @@ from tidemark.plans import registry
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-NAMES = "bars_daily returns_pct_change rolling_stats_60 rolling_cpt_60 lottery_features risk_report drawdown corr_pairs feed_stats mark_to_market event_routing".split()
+NAMES = "bars_daily returns_pct_change rolling_stats_60 rolling_cpt_60 lottery_features risk_report drawdown corr_pairs feed_stats mark_to_market event_routing garch_forecast breakout_backtest resting_order_fills roc_auc skipping_scan".split()
 
 
 def main() -> None:
