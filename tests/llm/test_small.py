@@ -39,6 +39,35 @@ def test_near_dedup(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_edited_copies(spark):
+    """Copies of one text with a few edits each: many links lie between copies that no leader of a bucket is near to."""
+    rng = np.random.default_rng(3)
+    base = [f"word{i}" for i in range(204)]
+    texts = []
+    for i in range(500):
+        words = list(base)
+        for at in rng.choice(40, rng.integers(3, 6), replace=False) * 5 + 2:
+            words[at] = f"edit{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [near_dedup.weighted([t])[::2] for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if top(a) != top(b) and len(np.intersect1d(sets[a][0], sets[b][0])) > 150 and near_dedup.probability_jaccard(sets[a], sets[b]) >= near_dedup.SIMILARITY:
+                lo, hi = sorted((top(a), top(b)))
+                root[hi] = lo
+    want = [top(i) for i in range(len(texts))]
+    assert 50 < len(set(want)) < 450
+    r = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id").class_id
+    assert [r[i] for i in range(len(texts))] == want
+
+
 def test_probability_jaccard():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -13,8 +13,11 @@ that occur once, it is the Jaccard index of the shingle sets. Steps:
    most central, and nearest to all. Of each bucket, all nodes are compared with the most and the least central one,
    not with each other.
 4. After components are known, each bucket that still holds several takes the most central node outside its largest component
-   and compares it with those in other components. So work is linear in the buckets' sizes, however large a group of copies is. A
-   link is lost only if both its ends miss each of the three nodes in all the buckets they share and no chain joins them.
+   and compares it with those in other components. So far work is linear in the buckets' sizes.
+   Then every pair of a shared bucket whose ends are still in different components is compared, so no link of a shared bucket is
+   lost. Members of such a bucket are dealt to blocks by hash; a task holds two blocks, looks at the signatures of all pairs
+   between them, and passes on members, not pairs, so rows stay linear in a bucket's size up to BLOCK. Texts are read of those
+   members only, once a block pair. Pairs whose ends the links of the same task have joined meanwhile are not compared.
 5. A comparison takes an estimate from the signatures (below ESTIMATE it ends; 0.8 is about 5 deviations away), then the exact index.
 """
 
@@ -36,6 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.6
+BLOCK = 256  # members of a bucket of several components that meet in one task
 BROADCAST_NODES = 500_000  # of 16 bytes; more are joined by a shuffle of the texts
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -122,33 +126,108 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 256):
             b = whole.slice(at, 256)
             ta, tb = b.column("ta").to_pylist(), b.column("tb").to_pylist()
-            sets: dict[str, tuple[np.ndarray, np.ndarray]] = {}
             texts = list(dict.fromkeys(ta + tb))
-            for lo, hi in chunks(texts):
-                h, text, w = weighted(texts[lo:hi])
-                cut = np.searchsorted(text, np.arange(hi - lo + 1))
-                for i in range(lo, hi):
-                    s = slice(cut[i - lo], cut[i - lo + 1])
-                    sets[texts[i]] = h[s], w[s]
+            sets = dict(zip(texts, _shingle_sets(texts)))
             yield b.select(["a", "b"]).filter(pa.array([probability_jaccard(sets[x], sets[y]) >= SIMILARITY for x, y in zip(ta, tb)], pa.bool_()))
 
 
+def _shingle_sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for lo, hi in chunks(texts):
+        h, text, w = weighted(texts[lo:hi])
+        cut = np.searchsorted(text, np.arange(hi - lo + 1))
+        out += [(h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]) for i in range(hi - lo)]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one (bucket, i, j) each, from rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], 1)
+        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]))
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            if held and tuple(key[lo]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(key[lo])
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places x < y of the likely pairs from two components that this group is to compare, and the component of each row.
+
+    A pair of several shared buckets is compared in the first of them only.
+    """
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    bucket = np.asarray(t["buckets"].combine_chunks().flatten()).reshape(-1, BANDS)
+    block = np.asarray(t["block"])
+    root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)[1]
+    here, apart = t["bucket"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
+    xs, ys = [], []
+    for x in range(len(sig) - 1):
+        y = np.arange(x + 1, len(sig))
+        y = y[(root[y] != root[x]) & ((block[y] != block[x]) if apart else True)]
+        if not len(y):
+            continue
+        same = bucket[y] == bucket[x]
+        y = y[bucket[x][same.argmax(1)] == here]
+        y = y[(sig[y] == sig[x]).mean(1) >= ESTIMATE]
+        xs.append(np.full(len(y), x))
+        ys.append(y)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys]), root
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _groups(batches):
+        if t.num_rows > 1:
+            x, y, _ = _open_pairs(t)
+            if len(x):
+                yield from t.take(pa.array(np.union1d(x, y))).combine_chunks().to_batches()
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in _groups(batches):
+        if t.num_rows < 2:
+            continue
+        xs, ys, root = _open_pairs(t)
+        sets, node = _shingle_sets(t["text"].to_pylist()), t["node"].to_pylist()
+        a, b = [], []
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            if root[x] != root[y] and probability_jaccard(sets[x], sets[y]) >= SIMILARITY:
+                root[root == root[y]] = root[x]
+                a.append(node[x])
+                b.append(node[y])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
 PAIR = "a binary, b binary"
+MEMBER = "bucket long, i int, j int, block int, node binary, root binary, sig binary, buckets array<long>"
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
 
 
+def _texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    nodes = nodes.distinct()
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+    # Equal texts meet here; only one row of each goes on.
+    return keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+
+
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs that are similar, written to the shared folder."""
     p = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     p = p.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = keep(p.mapInArrow(_likely, PAIR), "likely")
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    # Equal texts meet here; only one row of each goes on.
-    one = keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+    one = _texts(likely.select(F.explode(F.array("a", "b")).alias("node")), texts)
     p = likely.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     p = p.join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     out = keep(p.mapInArrow(_similar, PAIR), "links")
@@ -156,6 +235,40 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _largest(wide: DataFrame) -> DataFrame:
+    """(bucket, main, main_n, n) of the buckets of several components."""
+    sizes = wide.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    best = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("best"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    return best.select("bucket", F.col("best.root").alias("main"), F.col("best.n").alias("main_n"), "n")
+
+
+def _rest(wide: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that join all components of wide (bucket, node, root) that a similar pair of a shared bucket joins.
+
+    Blocks below `others` hold members outside a bucket's largest component; they meet each other and all blocks of that component.
+    """
+    open_ = wide.join(_largest(wide), "bucket")
+    others = F.ceil((F.col("n") - F.col("main_n")) / BLOCK).cast("int")
+    mains = F.ceil(F.col("main_n") / BLOCK).cast("int")
+    own, spread = F.col("root") == F.col("main"), F.xxhash64("node", "bucket")
+    block = F.when(own, F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("int")
+    open_ = open_.withColumns({"others": others, "mains": mains}).withColumn("block", block)
+    met = F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
+    open_ = open_.select("bucket", "node", "root", "block", met.alias("met"))
+    open_ = open_.select("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), "block", "node", "root")
+    key = ["bucket", "i", "j"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*key).sortWithinPartitions(*key)
+
+    full = open_.join(sigs, "node").select(*key, "block", "node", "root", "sig", "buckets")
+    likely = keep(dealt(full).mapInArrow(_open, MEMBER), "open")
+    one = _texts(likely.select("node"), texts)
+    out = keep(dealt(likely.join(one, "node")).mapInArrow(_join, PAIR), "links")
+    discard(likely, one)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of the links (a, b); the root is the least node of the component.
 
@@ -207,12 +320,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     root = components(first)
     wide = keep(member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide")
-    sizes = wide.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    main = _largest(wide).select("bucket", "main")
     lead = wide.join(main, "bucket").where("root <> main").groupBy("bucket").agg(F.max(F.struct("rank", "root")).alias("lead"))
     pairs = wide.join(lead, "bucket").where("root <> lead.root").select("node", F.col("lead.rank.node").alias("lead"))
     second = _confirm(_pairs(pairs), sigs, texts)
-    root = components(first.unionByName(second)) if second.limit(1).count() else root
+    if second.limit(1).count():
+        root = components(first.unionByName(second))
+        discard(wide)
+        wide = keep(member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide")
+    third = _rest(wide.select("bucket", "node", "root"), sigs, texts)
+    if third.limit(1).count():
+        root = components(first.unionByName(second).unionByName(third))
 
     node = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     node = node.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -221,7 +339,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     whole = whole.select("root", F.col("m.doc_id").alias("class_id"), F.col("m.node").alias("class_node"), "class_size", "n_texts")
     out = keep(node.select("node", "root").join(whole, "root").drop("root"), "classes")
-    discard(sigs, member, wide, first, second)
+    discard(sigs, member, wide, first, second, third)
     return out, signed.select("doc_id", "node")
 
 
