@@ -185,6 +185,13 @@ def test_html(spark):
     assert set(html_text.extract(spark.createDataFrame(many, "page_id long, url string, html string")).toPandas().text) == {f"own {i}" for i in range(8)}
 
 
+def test_html_wrapper(spark):
+    """A wrapper that holds the article besides a neutral text is no template, though it is alike on all pages but for the article."""
+    rows = [(i, "http://h/", f"<body><div id=page><div class=brand>Site</div><{tag}><p>own {i}</p></{tag}></div></body>") for tag, i in zip(["article"] * 6 + ["main"] * 6, range(12))]
+    r = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert dict(zip(r.page_id, r.text)) == {i: f"own {i}" for i in range(12)}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((60, 8)).astype(np.float32)

@@ -2,7 +2,8 @@
 
 Every page is parsed to a tree. A hash of each element's subtree (tag, class, id, text, children) is counted per host over all
 pages; subtrees that recur on at least RECURS of a host's pages, and MIN_PAGES of them, are the site's template and are deleted.
-An element inside an article or main element is not deleted for recurring, since a quoted passage may recur. Elements that are
+An element inside an article or main element is not deleted for recurring, since a quoted passage may recur; one that holds such
+an element is not either. Elements that are
 boilerplate by their tag, role or class go on any page. The text of the outermost article elements is taken; without any,
 that of main; else that of the body.
 
@@ -127,15 +128,18 @@ def text_of(node: Node, dropped: set[int] = frozenset()) -> str:
 
 
 def subtrees(root: Node) -> dict[int, list[Node]]:
-    """Elements by the hash of their subtree: those outside article and main elements that hold text and are no boilerplate already."""
+    """Elements by the hash of their subtree: those that hold text, are no boilerplate already, and neither lie in nor hold an article or main element."""
     found: dict[int, list[Node]] = {}
     digest: dict[int, bytes] = {}
+    holds: set[int] = set()
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         x, done = todo.pop()
         if not done:
             if x.boilerplate() or x.tag in ("article", "main"):
                 digest[id(x)] = b""
+                if x.tag in ("article", "main"):
+                    holds.add(id(x))
                 continue
             todo.append((x, True))
             todo.extend((c, False) for c in x.parts if not isinstance(c, str))
@@ -148,7 +152,9 @@ def subtrees(root: Node) -> dict[int, list[Node]]:
                 full = True
                 h.update(len(part).to_bytes(4, "little") + part)
         digest[id(x)] = h.digest() if full else b""
-        if full and x.tag not in ("", "html", "body"):
+        if any(id(c) in holds for c in x.parts):
+            holds.add(id(x))
+        elif full and x.tag not in ("", "html", "body"):
             found.setdefault(int.from_bytes(h.digest(), "little", signed=True), []).append(x)
     return found
 
@@ -163,7 +169,7 @@ def main_text(page: str, template: set[int]) -> str:
             x = todo.pop()
             if x.tag == want:
                 roots.append(x)
-            elif not x.boilerplate() and id(x) not in dropped:
+            elif not x.boilerplate():
                 todo.extend(c for c in reversed(x.parts) if not isinstance(c, str))
         if roots:
             return " ".join(t for t in (text_of(r, dropped) for r in roots) if t)
