@@ -192,6 +192,14 @@ def test_html_wrapper(spark):
     assert dict(zip(r.page_id, r.text)) == {i: f"own {i}" for i in range(12)}
 
 
+def test_html_slugs(spark):
+    """Inside an article only a whole class token is boilerplate, no id and no part of a hyphenated token."""
+    parts = "<section id=side-effects>b</section><section class='notice-period'>c</section><div id=comments>d</div><p class='note alert_levels'>e</p>"
+    body = f"<body><div class=cookie-notice>no</div><article><p>a</p>{parts}<div class='box Comments'>no</div></article></body>"
+    r = html_text.extract(spark.createDataFrame([(1, "http://h/", body), (2, "http://h/", body.replace("article", "main"))], "page_id long, url string, html string")).toPandas()
+    assert r.text.tolist() == ["a b c d e"] * 2
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((60, 8)).astype(np.float32)

@@ -3,8 +3,8 @@
 Every page is parsed to a tree. A hash of each element's subtree (tag, class, id, text, children) is counted per host over all
 pages; subtrees that recur on at least RECURS of a host's pages, and MIN_PAGES of them, are the site's template and are deleted.
 An element inside an article or main element is not deleted for recurring, since a quoted passage may recur; one that holds such
-an element is not either. Elements that are
-boilerplate by their tag, role or class go on any page. The text of the outermost article elements is taken; without any,
+an element is not either. Elements that are boilerplate by their tag, role, class or id go on any page; inside article or main,
+by their tag, role or a whole class token only. The text of the outermost article elements is taken; without any,
 that of main; else that of the body.
 
 A host's list of recurring hashes has at most (subtrees per page) / RECURS entries, so it can travel with each page.
@@ -33,11 +33,12 @@ BLOCK = frozenset(
 DROP = frozenset("head nav footer aside form button menu dialog".split()) | RAW
 ENDS_P = BLOCK - frozenset("br option td th tr tbody thead tfoot caption legend summary".split())
 SAME_ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|topbar|toolbar|cookies?\w*|consent|gdpr"
-    r"|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?|comment\w*|respond|disqus\w*|replies|widget\w*|pagination|pager|skip\w*)(?:$|[\s_-])",
-    re.I,
+WORDS = (
+    r"(?:ads?|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|masthead|topbar|toolbar|cookies?\w*|consent|gdpr"
+    r"|notice\w*|alert|popup|modal|newsletter|subscribe|signup|login|share\w*|sharing|social\w*|related\w*|recommend\w*|comments?|comment\w*|respond|disqus\w*|replies|widget\w*|pagination|pager|skip\w*)"
 )
+BOILERPLATE = re.compile(rf"(?:^|[\s_-]){WORDS}(?:$|[\s_-])", re.I)
+INSIDE = re.compile(WORDS.replace(r"\w*", r"[^\W_]*"), re.I)  # within article and main: a whole class token, as ids there are often slugs of headings
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -45,20 +46,22 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 
 
 class Node:
-    __slots__ = ("tag", "name", "role", "parts", "inside")
+    __slots__ = ("tag", "name", "classes", "role", "parts", "inside")
 
-    def __init__(self, tag: str, name: str, role: str, inside: bool):
-        self.tag, self.name, self.role, self.inside = tag, name, role, inside
+    def __init__(self, tag: str, name: str, classes: str, role: str, inside: bool):
+        self.tag, self.name, self.classes, self.role, self.inside = tag, name, classes, role, inside
         self.parts: list[Node | str] = []
 
     def boilerplate(self) -> bool:
         if self.tag in DROP or self.role in ROLES or (self.tag == "header" and not self.inside):
             return True
+        if self.inside:
+            return self.tag not in ("article", "main") and any(INSIDE.fullmatch(c) for c in self.classes.split())
         return bool(self.name) and self.tag not in ("html", "body", "article", "main") and bool(BOILERPLATE.search(self.name))
 
 
 def parse(page: str) -> Node:
-    root = Node("", "", "", False)
+    root = Node("", "", "", "", False)
     stack = [root]
     at = 0
     while at < len(page):
@@ -97,14 +100,16 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in SAME_ENDS[tag]:
                     break
-        name = role = ""
+        name = classes = role = ""
         if attrs:
             for k, a, b, c in _ATTR.findall(attrs):
                 if k.lower() == "role":
                     role = (a or b or c).lower()
                 else:
                     name += " " + (a or b or c)
-        node = Node(tag, name, role, stack[-1].inside or tag in ("article", "main"))
+                    if k.lower() == "class":
+                        classes += " " + (a or b or c)
+        node = Node(tag, name, classes, role, stack[-1].inside or tag in ("article", "main"))
         stack[-1].parts.append(node)
         if tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
