@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -11,11 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", at)
+    """A new folder's path under spark.checkpoint.dir; where that is unset, as in tests, under the warehouse, which is shared too."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tidemark"
     path = f"{at}/tidemark-{label}-{uuid.uuid4().hex}"
     p, fs = Store(spark, path).at("")
     fs.deleteOnExit(p)
