@@ -5,16 +5,22 @@ item; an item of fewer words, but not none, is one window. Every document's wind
 words themselves are compared. All of it is DataFrame operations: the windows of a document are generated and looked up
 inside one code-generated stage, and one row per document is shuffled.
 
-The window table is broadcast only if it has at most BROADCAST_WINDOWS rows (about 200 bytes each); a larger benchmark is joined by a shuffle.
+The window table is broadcast only if it has at most BROADCAST_WINDOWS rows (about 200 bytes each). Of a larger benchmark, first the
+windows that occur at all are found: the distinct window hashes of the documents, 8 bytes each and collapsed before they are
+shuffled, meet those of the benchmark. These windows alone go on, in parts of BROADCAST_WINDOWS, each of which is looked
+up as above in one more scan. No text is shuffled on either way.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 WINDOW = 10
 BROADCAST_WINDOWS = 200_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z have become a-z
@@ -41,8 +47,8 @@ def _key(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(F.lit(n), *[F.get(hashes, at + j) for j in range(n)])
 
 
-def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
-    """Of every document row: row (a struct of the carried columns), n_words, hit (array of the positions of hit words, from 0), item_ids (sorted)."""
+def _keyed(items: DataFrame) -> tuple[list[int], DataFrame]:
+    """The numbers of words of the windows, and (key, win_n, win_text, item_ids) of each window."""
     win = windows(items)
     lengths = sorted(r.n for r in win.select("n").distinct().collect())  # at most WINDOW
     # Whether a window's words have the hash that a document's words would have: lower() joins more than A-Z, never less.
@@ -50,12 +56,13 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
     key = F.lit(None).cast("long")
     for n in lengths:
         key = F.when(F.col("n") == n, _key(own, F.lit(0), n)).otherwise(key)
-    win = win.select(key.alias("key"), F.col("n").alias("win_n"), F.array_join("words", " ").alias("win_text"), "item_ids")
-    few = win.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    return lengths, win.select(key.alias("key"), F.col("n").alias("win_n"), F.array_join("words", " ").alias("win_text"), "item_ids")
+
 
-    d = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.monotonically_increasing_id().alias("rid"), _words(F.col("text"), NOT_WORD_ANY_CASE).alias("words"))
+def _positions(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each window of each row (row, rid, text) with its key; position -1 stands for the row itself, so that it stays without a hit."""
+    d = rows.select("row", "rid", _words(F.col("text"), NOT_WORD_ANY_CASE).alias("words"))
     d = d.select("row", "rid", "words", F.transform("words", lambda w: F.xxhash64(F.lower(w))).alias("h"), F.size("words").alias("n_words"))
-    # Position -1 stands for the document itself, so that it stays without a hit.
     d = d.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - 1, F.lit(-1)))).alias("at"))
     keys = [F.when((F.col("at") >= 0) & (F.col("at") + n <= F.col("n_words")), _key(F.col("h"), F.col("at"), n)) for n in lengths]
     if len(keys) == 1:
@@ -64,12 +71,33 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
         d = d.withColumn("key", F.explode(F.array(*keys)))
     else:
         d = d.where("at = -1").withColumn("key", F.lit(None).cast("long"))
-    d = d.where("at = -1 or key is not null")
-    d = d.join(F.broadcast(win) if few else win, "key", "left").where("at = -1 or win_n is not null")
+    return d.where("at = -1 or key is not null")
+
+
+def _looked_up(positions: DataFrame, win: DataFrame) -> DataFrame:
+    """The rows themselves, and the windows that occur with the same words."""
+    d = positions.join(F.broadcast(win), "key", "left").where("at = -1 or win_n is not null")
     # No lambda function up to here: it would leave the code-generated stage, and every window would carry its document.
     found = _ascii_lower(F.array_join(F.slice("words", F.greatest(F.col("at"), F.lit(0)) + 1, F.coalesce("win_n", F.lit(0))), " "))
     d = d.withColumn("hit", F.when((F.col("at") >= 0) & (found == F.col("win_text")), F.struct("at", "win_n")))
-    d = d.select(F.when(F.col("at") == -1, F.col("row")).alias("row"), "rid", "n_words", "hit", F.when(F.col("hit").isNotNull(), F.col("item_ids")).alias("item_ids"))
+    return d.select(F.when(F.col("at") == -1, F.col("row")).alias("row"), "rid", "n_words", "hit", F.when(F.col("hit").isNotNull(), F.col("item_ids")).alias("item_ids"))
+
+
+def marked(docs: DataFrame, items: DataFrame, carry: list[str], most: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Of every document row: row (a struct of the carried columns), n_words, hit (array of the positions of hit words, from 0), item_ids (sorted)."""
+    lengths, win = _keyed(items)
+    rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.monotonically_increasing_id().alias("rid"), "text")
+    if win.limit(most + 1).count() <= most:
+        d = _looked_up(_positions(rows, lengths), win)
+    else:
+        rows = keep(rows, "rows")  # several scans are to agree on rid
+        keys = _positions(rows, lengths).where("at >= 0").select("key").distinct()
+        win = keep(win.join(keys, "key", "left_semi"), "windows")
+        parts = max(1, math.ceil(win.count() / most))
+        part = F.pmod(F.xxhash64(F.lit(parts), "key"), parts)
+        d = _looked_up(_positions(rows, lengths), win.where(part == 0))
+        for i in range(1, parts):
+            d = d.unionByName(_looked_up(_positions(rows, lengths), win.where(part == i)).where("hit is not null"))
     out = d.groupBy("rid").agg(
         F.max("row").alias("row"),
         F.max("n_words").alias("n_words"),
@@ -80,13 +108,13 @@ def marked(docs: DataFrame, items: DataFrame, carry: list[str]) -> DataFrame:
     return out.select("row", F.col("n_words").cast("long").alias("n_words"), hit.alias("hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
     A null or empty text has no words; no item means no hit, and the digest is that of the empty string. An item of null id
     hits, but has no name to count. A window that several items share counts for each. Texts are read whole; repeated rows stay apart.
     """
-    m = marked(docs, items, ["doc_id"])
+    m = marked(docs, items, ["doc_id"], most)
     return m.select(
         "row.doc_id",
         "n_words",
