@@ -1,11 +1,13 @@
 """Mixing sources to target weights by the cube method.
 
 Each source's target over its size is the number of copies that its documents should have; the whole part is given to all,
-the rest is an inclusion probability. Documents to include are drawn by the cube method: a walk of the probabilities through
-the null space of two totals, words and documents, which stay exact while each step settles a document. In a block of BLOCK
+the rest is an inclusion probability. Equal rows are one unit: their copies together have a whole part and one such rest, so that
+repeated rows are neither one block nor one task. Units to include are drawn by the cube method: a walk of the probabilities through
+the null space of two totals, words and documents, which stay exact while each step settles a unit. In a block of BLOCK
 units all but two are settled so. The two left over of every block make the blocks of the next level, until a source has
-one block; there at most two documents are landed, by the rounding nearest to both totals. A block is one task's bounded
-work, however large the source.
+one block. About RESERVE units of every larger source, by hash, wait for that last block. There at most two units are landed by the
+rounding nearest to both totals, and the words still missing are made up by exchanges of units drawn against units not drawn, or by
+single units, as long as that brings the source nearer to its target (`repair`). A block is one task's bounded work, however large the source.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import discard, keep
+from .common import discard, fraction, keep
 
 WEIGHTS = (1.0, 2.0, 3.0)  # of the sources by code point, repeating
 MOST = 3.0  # times a source's size
-BLOCK = 4000
+BLOCK, RESERVE = 4000, 400
+CHUNK = 1000  # repeated rows written by one task at a time
 MAX_SOURCES = 1_000_000  # a row each on the driver; more are refused, not dropped
 
 
@@ -122,83 +126,148 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-UNIT = "__tm_unit string, source string, size long, n long, p double"
+def repair(q: np.ndarray, p: np.ndarray, size: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """q (0 or 1 of each unit) with units exchanged, or single ones turned, while that lessens the miss of the sizes drawn against p's.
+
+    Only units whose p is open may change. Of equal misses an exchange is taken, as it keeps the number of units.
+    """
+    q = q.copy()
+    open_ = (p > 1e-9) & (p < 1 - 1e-9) & (size > 0)
+    for _ in range(rounds):
+        miss = float(((q - p) * size).sum())
+        if abs(miss) < 0.5:
+            break
+        best, turn = abs(miss) - 1e-6, []
+        out, in_ = np.flatnonzero(open_ & (q == 0)), np.flatnonzero(open_ & (q == 1))
+        if len(out) and len(in_):
+            out = out[np.argsort(size[out], kind="stable")]
+            # in_ j leaves and out i enters: size[i] should be near size[j] - miss
+            at = np.searchsorted(size[out], size[in_] - miss)
+            for k in (np.clip(at - 1, 0, len(out) - 1), np.clip(at, 0, len(out) - 1)):
+                left = np.abs(miss - size[in_] + size[out[k]])
+                j = int(left.argmin())
+                if left[j] < best:
+                    best, turn = float(left[j]), [in_[j], out[k[j]]]
+        every = np.flatnonzero(open_)
+        if len(every):
+            left = np.abs(miss + np.where(q[every] == 0, 1, -1) * size[every])
+            j = int(left.argmin())
+            if left[j] < best - 0.5:
+                best, turn = float(left[j]), [every[j]]
+        if not turn:
+            break
+        q[turn] = 1 - q[turn]
+    return q
+
+
+UNIT = "__tm_unit string, id string, source string, size long, n long, p double"
 
 
 def _fly(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large units first: those left over at the end are small.
         pdf = pdf.sort_values(["size", "__tm_unit"], ascending=[False, True], kind="stable")
-        x = pdf[["size", "n"]].to_numpy(float)
+        size, p = pdf["size"].to_numpy(float), pdf["p"].to_numpy(float)
+        x = np.column_stack((size, np.ones(len(size))))
         seed = int(pd.util.hash_array(pdf["__tm_unit"].to_numpy(object)).sum(dtype=np.uint64))
-        p = flight(pdf["p"].to_numpy(float), x, np.random.default_rng(seed))
-        return pdf.assign(p=landing(p, x) if last else p)[["__tm_unit", "source", "size", "n", "p"]]
+        q = flight(p, x, np.random.default_rng(seed))
+        return pdf.assign(p=repair(landing(q, x), p, size) if last else q)[["__tm_unit", "id", "source", "size", "n", "p"]]
 
     return run
 
 
-def _settle(units: DataFrame, counts: dict[str | None, int], block: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(unit, p in {0, 1}) of every unit, and the tables made on the way."""
-    done, made = [], []
-    while True:
-        blocks = {s: math.ceil(n / block) for s, n in counts.items()}
-        last = all(b <= 1 for b in blocks.values())
-        wide = {s: b for s, b in blocks.items() if b > 1}
-        n = F.lit(1)
-        if wide:
-            pairs = units.sparkSession.createDataFrame(list(wide.items()), "__tm_s string, __tm_b long").coalesce(1)
-            u = units.join(pairs, F.col("source").eqNullSafe(F.col("__tm_s")), "left")
-            n = F.coalesce("__tm_b", F.lit(1))
-        else:
-            u = units
-        u = u.withColumn("__tm_block", F.pmod(F.xxhash64("__tm_unit", "size"), n))
-        flown = keep(u.groupBy("source", "__tm_block").applyInPandas(_fly(last), UNIT), "flight")
+def _settle(units: DataFrame, counts: dict[str | None, int], block: int, reserve: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All units with p in {0, 1}, and the tables that this reads."""
+    spark = units.sparkSession
+    done, made, waiting = [], [], []
+    while wide := {s: n for s, n in counts.items() if n > block}:
+        rows = [(s, math.ceil(n / block), reserve / n if not made else 0.0) for s, n in wide.items()]
+        plan = F.broadcast(spark.createDataFrame(rows, "__tm_s string, __tm_b long, __tm_r double").coalesce(1))  # a row for each source
+        u = units.join(plan, F.col("source").eqNullSafe(F.col("__tm_s")), "left").withColumn(
+            "__tm_wait", F.col("__tm_b").isNull() | (fraction(F.col("__tm_unit"), F.lit("reserve")) < F.col("__tm_r"))
+        )
+        waiting.append(u.where("__tm_wait").select(units.columns))
+        u = u.where("not __tm_wait").withColumn("__tm_block", F.pmod(F.xxhash64("__tm_unit", "size"), F.col("__tm_b")))
+        flown = keep(u.groupBy("source", "__tm_block").applyInPandas(_fly(False), UNIT), "flight")
         made.append(flown)
-        if last:
-            done.append(flown)
-            break
         left = "p > 0 and p < 1"
         done.append(flown.where(f"not ({left})"))
         units = flown.where(left)
         counts = {r.source: r.n for r in units.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    out = done[0]
-    for d in done[1:]:
+    for w in waiting:
+        units = units.unionByName(w)
+    flown = keep(units.groupBy("source").applyInPandas(_fly(True), UNIT), "flight")
+    out = flown
+    for d in done:
         out = out.unionByName(d)
-    return out, made
+    return out, [*made, flown]
 
 
-def mix(units: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Copies of each unit, for units (unit string, source, size long, n long: rows it stands for): adds source_size, target, copies."""
-    units = keep(units.select(F.col("unit").alias("__tm_unit"), "source", "size", "n"), "units")
-    got = units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
+def mix(units: DataFrame, block: int = BLOCK, reserve: int = RESERVE) -> DataFrame:
+    """Copies for units (unit string, id string, source, size long, n long: equal rows, each of that size).
+
+    Adds source_size, target, base and extra: of a unit's n rows, `extra` are taken base + 1 times and the others base times.
+    """
+    units = keep(units.select(F.col("unit").alias("__tm_unit"), F.col("id").cast("string").alias("id"), "source", "size", "n"), "units")
+    got = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goal = targets([(r.source, r["size"]) for r in got])
     rows = [(r.source, r["size"], goal[r.source], int(goal[r.source] // r["size"]) if r["size"] else 0, goal[r.source] / r["size"] % 1 if r["size"] else 0.0) for r in got]
-    plan = units.sparkSession.createDataFrame(rows, "__tm_s string, source_size long, target double, whole int, p double").coalesce(1)
-    u = units.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__tm_s"))).drop("__tm_s")
-    flown, made = _settle(u.select("__tm_unit", "source", "size", "n", "p"), {r.source: r.n for r in got}, block)
-    out = flown.withColumnRenamed("p", "drawn").join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__tm_s")))
-    return out.select(F.col("__tm_unit").alias("unit"), "source", "size", "n", "source_size", "target", (F.col("whole") + F.round("drawn")).cast("long").alias("copies"))
+    plan = F.broadcast(units.sparkSession.createDataFrame(rows, "__tm_s string, source_size long, target double, whole long, share double").coalesce(1))
+    same = F.col("source").eqNullSafe(F.col("__tm_s"))
+    rest = F.col("n") * F.col("share")
+    u = units.join(plan, same).select("__tm_unit", "id", "source", "size", "n", (rest - F.floor(rest)).alias("p"))
+    flown, made = _settle(u, {r.source: r.n for r in got}, block, reserve)
+    total = F.col("n") * F.col("whole") + F.floor(rest) + F.round("drawn").cast("long")
+    out = flown.withColumnRenamed("p", "drawn").join(plan, same).withColumn("total", total)
+    base = F.floor(F.col("total") / F.col("n")).cast("long")
+    out = out.select(F.col("__tm_unit").alias("unit"), "id", "source", "size", "n", "source_size", "target", base.alias("base"), (F.col("total") - base * F.col("n")).alias("extra"))
+    if made:
+        discard(units)
+    return out
+
+
+def _unit() -> Column:
+    """One value for equal (doc_id, text, source)."""
+    return F.md5(F.to_json(F.struct(F.col("doc_id").cast("string").alias("i"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("t"), F.col("source").cast("string").alias("s"))).cast("binary"))
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Every row as often as its column `times` says, which goes; many repeats are dealt to several tasks."""
+    few = rows.where(F.col(times).between(1, CHUNK))
+    chunk = F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / CHUNK))
+    many = rows.where(F.col(times) > CHUNK).withColumn("__tm_chunk", F.explode(chunk))
+    many = many.withColumn(times, F.least(F.lit(CHUNK).cast("long"), F.col(times) - F.col("__tm_chunk") * CHUNK)).repartition("__tm_chunk").drop("__tm_chunk")
+    return few.unionByName(many).withColumn("__tm_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop("__tm_copy", times)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, size, source_size, target, taken, copies, source.
 
     A null or empty text has size 0 and takes nothing; a source of size 0 has target 0. Null sources are one source, the last.
-    The draw depends on doc_id and text alone, so reruns agree; repeated rows are drawn each for itself.
+    The draw depends on doc_id, text and source alone, so reruns agree; of repeated rows some may be taken once more than others.
     """
-    d = docs.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("unit"), F.col("doc_id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.lit(1).cast("long").alias("n"))
-    m = mix(d.drop("id"))
-    id_ = F.when(F.instr("unit", ":") > 0, F.substring_index("unit", ":", 1)).cast(docs.schema["doc_id"].dataType)
+    d = docs.select(_unit().alias("unit"), F.col("doc_id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    m = mix(d.groupBy("unit", "id", "source", "size").agg(F.count("*").alias("n")))
+    kinds = F.array(F.struct(F.col("extra").alias("k"), (F.col("base") + 1).alias("c")), F.struct((F.col("n") - F.col("extra")).alias("k"), F.col("base").alias("c")))
+    m = m.withColumn("kind", F.explode(kinds)).where("kind.k > 0").withColumn("__tm_times", F.col("kind.k"))
+    m = _repeated(m, "__tm_times").withColumn("copies", F.col("kind.c"))
+    id_ = F.col("id").cast(docs.schema["doc_id"].dataType)
     return m.select(id_.alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, with all its columns. Equal rows are drawn together."""
-    unit = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    d = docs.select(unit.alias("unit"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    d = d.groupBy("unit", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    m = mix(d).where("copies > 0").select(F.col("unit").alias("__tm_unit"), F.col("copies").alias("__tm_copies"))
-    out = docs.withColumn("__tm_unit", unit).join(m, "__tm_unit")
-    return out.withColumn("__tm_copy", F.explode(F.sequence(F.lit(1), F.col("__tm_copies").cast("int")))).select(*docs.columns)
+    """Pipeline stage: every document as often as the mix takes it, with all its columns. Equal rows share their unit's copies."""
+    d = docs.select(_unit().alias("unit"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    m = mix(d.groupBy("unit", "source", "size").agg(F.count("*").alias("n")).withColumn("id", F.lit(None).cast("string")))
+    m = m.select(F.col("unit").alias("__tm_unit"), F.col("n").alias("__tm_n"), F.col("base").alias("__tm_base"), F.col("extra").alias("__tm_extra")).where("__tm_base + __tm_extra > 0")
+    own = docs.withColumn("__tm_unit", _unit())
+    one = own.join(m.where("__tm_n = 1"), "__tm_unit").withColumn("__tm_times", F.col("__tm_base") + F.col("__tm_extra")).select(*docs.columns, "__tm_times")
+    # Of rows with equal doc_id, text and source, those equal in all columns are counted, and the extra copies go to the first.
+    more = own.join(m.where("__tm_n > 1"), "__tm_unit").groupBy("__tm_unit", "__tm_base", "__tm_extra", *docs.columns).agg(F.count("*").alias("__tm_c"))
+    before = Window.partitionBy("__tm_unit").orderBy(*docs.columns).rowsBetween(Window.unboundedPreceding, -1)
+    more = more.withColumn("__tm_off", F.coalesce(F.sum("__tm_c").over(before), F.lit(0).cast("long")))
+    extra = F.greatest(F.lit(0).cast("long"), F.least("__tm_c", F.col("__tm_extra") - F.col("__tm_off")))
+    more = more.select(*docs.columns, (F.col("__tm_c") * F.col("__tm_base") + extra).alias("__tm_times"))
+    return _repeated(one.unionByName(more), "__tm_times").select(*docs.columns)
