@@ -8,11 +8,14 @@ any tree is opened next. How many leaves to open is measured, not guessed: for C
 by brute force over all vectors, and the number of leaves is the least that would hold TARGET of them (clustered vectors need few;
 vectors without structure need many, as in any index of this kind).
 
-A leaf and the queries that opened it meet in one group, whose vectors the depth of the trees bounds; the inner products there
-are exact. A query's K + 1-th best in a sample bounds its neighbours' products from below, so that few pairs leave a leaf: the sample
-grows with the table up to SAMPLE, and so far the pairs of a query do not grow.
-
-Equal vectors are one candidate: the K + 1 least ids of a vector stand for it, and no other could be among a query's nearest K.
+The trees are no deeper than the sample can split (LEAST of it in a leaf), so the forest has a size bound at any number of vectors; in a
+larger table every leaf is dealt by hash to as many cells as keep about `leaf` vectors in each. A cell and the queries that opened its leaf meet in
+one group. Their inner products are taken at once; whatever may belong to the K + 1 best, ties at the cut too, is scored again, in
+double precision from the original components and in one order of addition, so that ties and order are exact.
+A query's K + 1-th best in its first FIRST leaves bounds its neighbours' products from below, so few pairs leave the other leaves.
+
+Equal vectors are one candidate: the K + 1 least ids of a vector stand for it, and no other could be among a query's nearest K. Queries
+of equal vectors are searched once.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fraction, keep
+from .common import discard, fraction, keep
 
 K = 20
-TREES = 6
-LEAF = 1000  # vectors in a leaf, about
-SAMPLE = 60_000  # vectors that the trees are grown from
-CALIBRATION, TARGET = 60, 0.95
-FLOOR, FLOOR_SHARE = 4000, 4  # vectors that give the lower bound: so many, or that part of all; SAMPLE at most
+TREES = 4
+LEAF = 1000  # vectors in a cell, about
+SAMPLE, LEAST = 60_000, 30  # vectors that the trees are grown from, and how many of them a leaf holds at least
+CALIBRATION, TARGET = 100, 0.95
+FIRST = 4  # leaves that give the lower bound
 SEED = 20_001
 
 
@@ -95,7 +98,9 @@ def search(v: np.ndarray, planes: np.ndarray, cuts: np.ndarray) -> Iterator[int]
 
 
 def visits_needed(queries: np.ndarray, found: list[np.ndarray], planes: np.ndarray, cuts: np.ndarray, depth: int, target: float = TARGET) -> int:
-    """Leaves to open so that the given share of the queries' true neighbours (augmented vectors) is in one of them."""
+    """Leaves to open so that the given share of the queries' true neighbours (augmented vectors) is in one of them. A share above 1 opens all."""
+    if target > 1:
+        return cuts.shape[0] * (cuts.shape[1] + 1)
     ranks: list[int] = []
     for q, x in zip(queries, found):
         at = leaves(x, planes, cuts, depth)
@@ -117,23 +122,43 @@ def _augment(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack((x, np.sqrt(np.maximum(0.0, most**2 - (x * x).sum(1)))[:, None])).astype(np.float32)
 
 
+def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a and b, added from the first component to the last."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        out += x * y
+    return out
+
+
+def best_pairs(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query, ties to the smaller found."""
+    order = np.lexsort((found, -score, query))
+    q = query[order]
+    start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[rank < k]
+
+
 def _meet(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    """One leaf: exact inner products of its queries and its vectors, the best of each query."""
+    """One cell: its queries' K + 1 best of its vectors, those below the query's floor left out."""
     empty = pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not left.num_rows or not right.num_rows:
         return empty
-    ids = np.asarray(left["id"])
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], _matrix(left["e"].combine_chunks())[order]
+    ids, x = np.asarray(left["id"]), _matrix(left["e"].combine_chunks())
+    k = min(K + 1, len(ids))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     q, e, floor = np.asarray(right["id"]), _matrix(right["e"].combine_chunks()), np.asarray(right["floor"])
-    keep_ = min(K + 1, len(ids))
+    slack = 1e-9 * np.sqrt((e * e).sum(1)) * np.sqrt((x * x).sum(1).max())
     for at in range(0, len(q), 256):
-        s = e[at : at + 256] @ x.T
-        best = np.argpartition(-s, keep_ - 1, axis=1)[:, :keep_]
-        top = np.take_along_axis(s, best, 1)
-        r, c = np.nonzero(top >= floor[at : at + 256, None])
-        out.append((q[at : at + 256][r], ids[best[r, c]], top[r, c]))
+        part = slice(at, at + 256)
+        s = e[part] @ x.T
+        cut = np.maximum(floor[part], np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]) - slack[part]
+        r, c = np.nonzero(s >= cut[:, None])
+        for lo in range(0, len(r), 1 << 17):  # ties may be many
+            i, j = r[lo : lo + (1 << 17)], c[lo : lo + (1 << 17)]
+            score = exact_scores(e[part][i], x[j])
+            top = best_pairs(i, ids[j], score, k)
+            out.append((q[part][i[top]], ids[j[top]], score[top]))
     a, b, c = (np.concatenate(z) for z in zip(*out))
     return pa.table({"query": a, "found": b, "score": c})
 
@@ -164,51 +189,58 @@ def _brute(reps: DataFrame, queries: np.ndarray) -> list[np.ndarray]:
     return [e[q == i] for i in range(len(queries))]
 
 
-def nearest(vectors: DataFrame, every: int = 20, trees: int = TREES, leaf: int = LEAF, target: float = TARGET) -> DataFrame:
+def nearest(
+    vectors: DataFrame, every: int = 20, trees: int = TREES, leaf: int = LEAF, target: float = TARGET, sample: int = SAMPLE, least: int = LEAST
+) -> DataFrame:
     """The K nearest found of each query: query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by `every`.
 
-    Rows with a null vec_id take no part, nor do null or zero vectors and those that hold a null or non-finite component, or
-    have another length than the most vectors do. Ties go to the smaller vec_id; equal vectors of different ids are different neighbours. With
-    no query or no candidate the result is empty.
+    Rows with a null vec_id take no part, nor do null or zero vectors and those that hold a null or non-finite component. A query is
+    compared with vectors of its own length; each length has a forest. Ties go to the smaller vec_id; equal vectors of
+    different ids are different neighbours. With no query or no candidate the result is empty. Vectors of doubles are kept as doubles.
     """
-    v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("e"))
+    wide = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(f"array<{wide}>").alias("e"))
     v = v.where(
         F.coalesce(
             F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0),
             F.lit(False),
         )
     )
-    spark = vectors.sparkSession
-    sizes = v.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("e", F.lit(0.0), lambda s, c: s + c * c)).alias("m")).collect()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], result)
-    top = max(sizes, key=lambda r: (r.n, r.d))
-    v = v.where(F.size("e") == top.d)
+    norm = F.aggregate("e", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    sizes = v.groupBy(F.size("e").alias("d")).agg(F.max(norm).alias("m")).orderBy("d").collect()  # a row for each length
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, r in enumerate(sizes):
+        one = _nearest(v.where(F.size("e") == r.d), math.sqrt(r.m), wide, every, trees, leaf, target, sample, least)
+        out = one if not i else out.unionByName(one)
+    return out
+
+
+def _nearest(v: DataFrame, most: float, wide: str, every: int, trees: int, leaf: int, target: float, sample_size: int, least: int) -> DataFrame:
+    spark = v.sparkSession
     # A partial limit by vector comes before the shuffle, so copies of one vector don't gather.
     w = Window.partitionBy("e").orderBy("id")
     few = v.withColumn("k", F.row_number().over(w)).where(F.col("k") <= K + 1)
-    few = keep(few.withColumn("rep", F.min("id").over(Window.partitionBy("e"))).select("id", "e", "rep"), "vectors")
-    reps = few.where("id = rep").select("id", "e")
+    few = keep(few.withColumn("rep", F.min("id").over(Window.partitionBy("e"))).select("id", "e", "rep").distinct(), "vectors")
+    reps = few.where("id = rep").select("id", "e").distinct()
     asked = v.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "e")
     asked = keep(asked.join(few.where("id = rep").select("e", "rep"), "e").select("query_id", "rep"), "queries")
     n = reps.count()
     q = reps.join(asked.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    share = SAMPLE / n
+    share = sample_size / n
     sample = reps if share >= 1 else reps.where(fraction(F.col("id"), F.lit(SEED)) < share)
-    most = math.sqrt(top.m)
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
-    drawn = _matrix(sample.orderBy(F.xxhash64("id"), "id").select("e").toArrow()["e"].combine_chunks())
+    drawn = _matrix(sample.orderBy(F.xxhash64("id"), "id").select("e").toArrow()["e"].combine_chunks())  # about sample_size
+    depth = max(0, min(math.ceil(math.log2(max(1, n / leaf))), math.floor(math.log2(max(1, len(drawn) / least)))))
+    cells = max(1, round(n / leaf / (1 << depth)))  # of each leaf
     planes, cuts = grow(_augment(drawn, most), depth, trees)
-    forest = spark.sparkContext.broadcast((planes, cuts))  # trees * nodes * (dimension + 2) * 4 bytes
-    low = spark.sparkContext.broadcast(drawn[: max(FLOOR, n // FLOOR_SHARE)])
+    forest = spark.sparkContext.broadcast((planes, cuts))  # trees * 2**depth * (dimension + 2) * 4 bytes, and 2**depth is sample_size / least at most
     trial = q.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).toArrow()
     if not trial.num_rows:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     trial_x = _matrix(trial["e"].combine_chunks())
     true = _brute(reps, trial_x)
     flat_q = np.hstack((trial_x, np.zeros((len(trial_x), 1)))).astype(np.float32)
-    visits = visits_needed(flat_q, [_augment(x, most) for x in true], planes, cuts, depth, target)
+    visits = max(FIRST, visits_needed(flat_q, [_augment(x, most) for x in true], planes, cuts, depth, target))
+    row = f"id long, e array<{wide}>"
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,24 +253,34 @@ def nearest(vectors: DataFrame, every: int = 20, trees: int = TREES, leaf: int =
             for at in range(0, b.num_rows, 128):
                 part = b.slice(at, 128)
                 x = _matrix(part.column("e"))
-                opened = [list(islice(search(row, *forest.value), visits)) for row in np.hstack((x, np.zeros((len(x), 1)))).astype(np.float32)]
-                s = x @ low.value.T
-                floor = np.partition(s, -(K + 1), axis=1)[:, -(K + 1)] - 1e-9 * (1 + most**2) if s.shape[1] > K else np.full(len(x), -np.inf)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("e"), pa.array(opened, pa.list_(pa.int64())), pa.array(floor)], names=["id", "e", "leaf", "floor"])
-
-    index = reps.mapInArrow(put, "id long, e array<float>, leaf array<long>").select("id", "e", F.explode("leaf").alias("leaf"))
-    opened = q.repartition("id").mapInArrow(open_, "id long, e array<float>, leaf array<long>, floor double").select("id", "e", "floor", F.explode("leaf").alias("leaf"))
-    got = index.groupBy("leaf").cogroup(opened.groupBy("leaf")).applyInArrow(_meet, "query long, found long, score double")
-    # The same vector comes from several trees; its products may differ in the last bit between leaves.
-    got = got.groupBy("query", "found").agg(F.max("score").alias("score"))
-    near = Window.partitionBy("query").orderBy(F.desc("score"), "found")
-    got = got.withColumn("r", F.row_number().over(near)).where(F.col("r") <= K + 1).select("query", "found")
-
-    # Exact scores, in double precision and one order of addition, then all ids of the found vectors.
-    vec = few.select(F.col("rep").alias("found"), F.col("id").alias("vec_id"), F.col("e").alias("b"))
-    pairs = asked.join(got, asked["rep"] == got["query"]).join(reps.select(F.col("id").alias("query"), F.col("e").alias("a")), "query")
-    pairs = pairs.join(vec, "found").where("vec_id <> query_id")
-    score = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = pairs.select("query_id", "vec_id", score.alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+                opened = [list(islice(search(r, *forest.value), visits)) for r in np.hstack((x, np.zeros((len(x), 1)))).astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("e"), pa.array(opened, pa.list_(pa.int64()))], names=["id", "e", "leaf"])
+
+    def met(opened: DataFrame) -> DataFrame:
+        """Every cell's best for the queries (id, e, floor, leaf array)."""
+        cell = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+        right = opened.select("id", "e", "floor", F.explode("leaf").alias("leaf")).select("id", "e", "floor", "leaf", cell.alias("cell"))
+        got = index.groupBy("leaf", "cell").cogroup(right.groupBy("leaf", "cell")).applyInArrow(_meet, "query long, found long, score double")
+        return keep(got, "met")
+
+    def top(got: DataFrame) -> DataFrame:
+        near = Window.partitionBy("query").orderBy(F.desc("score"), "found")
+        return got.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= K + 1)
+
+    index = reps.mapInArrow(put, f"{row}, leaf array<long>").select("id", "e", F.explode("leaf").alias("leaf"), F.pmod(F.xxhash64("id"), cells).cast("int").alias("cell"))
+    opened = keep(q.repartition("id").mapInArrow(open_, f"{row}, leaf array<long>"), "opened")
+    low = F.lit(float("-inf"))
+    first = met(opened.select("id", "e", low.alias("floor"), F.slice("leaf", 1, FIRST).alias("leaf")))
+    floor = top(first).where(F.col("r") == K + 1).select(F.col("query").alias("id"), F.col("score").alias("floor"))
+    rest = opened.join(floor, "id", "left").select("id", "e", F.coalesce("floor", low).alias("floor"), F.slice("leaf", FIRST + 1, visits).alias("leaf"))
+    got = top(first.unionByName(met(rest))).select("query", "found", "score")
+
+    # All ids of the found vectors, the K + 1 nearest of a query's vector; then every query leaves out itself.
+    ids = few.select(F.col("rep").alias("found"), F.col("id").alias("vec_id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    lists = got.join(ids, "found").withColumn("r", F.row_number().over(order)).where(F.col("r") <= K + 1)
+    lists = keep(lists.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near")), "lists")
+    discard(first, opened)
+    own = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    out = asked.join(lists, asked["rep"] == lists["query"]).select("query_id", F.posexplode(F.slice(own, 1, K)).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
