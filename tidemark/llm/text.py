@@ -32,12 +32,17 @@ def word_table() -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+    """The first n powers; those of a usual chunk are kept, longer ones made anew and let go."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _BASE_INVERSE):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        made.append(np.cumprod(p))
+    if n <= 2 * CHUNK_CHARS:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -78,14 +83,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_and_prefix_hashes(texts: list[str], lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and of the proper prefixes of the given lengths, and the text of each."""
+    """Hashes of all words and of the proper prefixes of the given lengths, and the text of each. Hashes of words are even, of prefixes odd."""
     begin, end, at, total, down = _spans(texts)
     text = np.searchsorted(at, begin, side="right") - 1
-    h, of = [mix((total[end] - total[begin]) * down[begin])], [text]
+    h, of = [mix((total[end] - total[begin]) * down[begin]) & ~np.uint64(1)], [text]
     for k in lengths:
         long = end - begin > k
         b = begin[long]
-        h.append(mix(((total[b + k] - total[b]) * down[b]) ^ _STEP))
+        h.append(mix(((total[b + k] - total[b]) * down[b]) ^ _STEP) | np.uint64(1))
         of.append(text[long])
     return np.concatenate(h), np.concatenate(of)
 

@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine from a block-max inverted index, distance-weighted votes, calibrated.
 
 Examples are labelled documents outside the held-out third, about PER_CLASS of either label at most, by hash of the id;
-of a repeated id the least text counts. Terms are words and
-their prefixes of PREFIXES letters. The vocabulary is the terms that
-mark toxic examples (chi-square of at least CHI_SQUARE, in MIN_DF examples or more). Document
-frequencies are counted over all documents. The index keeps each term's postings in blocks of BLOCK examples with the
-block's largest weight; blocks are scored from the highest upper bound down, until no bound reaches the K-th best cosine,
-so the K nearest are exact. Votes are weighted by 1 / (1 - cosine + 0.05). Leaving each example out in turn gives raw votes
-whose isotonic fit to the labels, weighted back to the labels' true shares, turns a vote into a probability.
+of a repeated id the least text counts. The vocabulary has two sides: words, and their prefixes of PREFIXES letters, that
+mark toxic examples (chi-square of at least CHI_SQUARE, in MIN_DF examples or more), whose weight is RELEVANCE times their IDF; and all other
+words in MIN_DF examples or more, but not in over COMMON of them, by which any other text finds examples like it. At most VOCABULARY terms
+are kept, the toxic ones first, then those of most examples. Document frequencies are counted over all documents.
+
+The index keeps each term's postings in blocks of BLOCK examples with the block's largest weight; blocks are scored from the highest
+upper bound down, until no bound reaches the K-th best cosine, so the K nearest are exact. Votes are weighted by 1 / (1 - cosine + 0.05).
+Leaving each example out in turn gives raw votes whose isotonic fit to the labels, weighted back to the labels' true shares, turns a vote
+into a probability. CHI_SQUARE, RELEVANCE, COMMON and K were chosen by five-fold cross-validation among the documents that are not held out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from .text import chunks, counted, word_and_prefix_hashes
 PER_CLASS = 1500
 PREFIXES = (4, 5, 6, 7)
 MIN_DF, CHI_SQUARE = 4, 30.0
-K, BLOCK = 25, 64
+RELEVANCE, COMMON, VOCABULARY = 25.0, 0.05, 60_000
+K, BLOCK = 25, 256
 CUT = 0.7
 
 
@@ -35,7 +38,7 @@ class Index:
     """Examples in blocks; postings by term, then example."""
 
     terms: np.ndarray  # sorted hashes of the vocabulary
-    idf: np.ndarray
+    idf: np.ndarray  # times the term's relevance
     ids: np.ndarray  # doc_id of each example
     toxic: np.ndarray
     example: np.ndarray  # of each posting
@@ -50,11 +53,10 @@ class Index:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(best) >= k and bound[b] < least - 1e-12):
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                lo, hi = self.offset[t, b], self.offset[t, b + 1]
-                if hi > lo:
-                    acc[self.example[lo:hi] - b * BLOCK] += w * self.value[lo:hi]
+            first = self.offset[term, b]
+            n = self.offset[term, b + 1] - first
+            posting = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            acc = np.bincount(self.example[posting] - b * BLOCK, np.repeat(weight, n) * self.value[posting], BLOCK)
             at = np.flatnonzero(acc > 0)
             at = at[at + b * BLOCK != without]
             best, score = np.concatenate((best, at + b * BLOCK)), np.concatenate((score, acc[at]))
@@ -155,25 +157,26 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
     limit = F.when(F.col("toxic") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
     drawn = given.where(draw < limit)  # about per_class rows of either label
     known = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    got = known.mapInArrow(_terms, "doc_id long, toxic int, term array<long>, n array<long>").orderBy("toxic", "doc_id").toArrow()
+    known = keep(known.mapInArrow(_terms, "doc_id long, toxic int, term array<long>, n array<long>"), "examples")
     discard(given)
-    toxic = np.asarray(got["toxic"]).astype(float)
+    labelled = known.select("toxic", "doc_id").orderBy("toxic", "doc_id").toArrow()  # about 2 * per_class rows
+    toxic, ids = np.asarray(labelled["toxic"]).astype(float), np.asarray(labelled["doc_id"])
     if not 0 < toxic.sum() < len(toxic):
         return none
-    ids, term = np.asarray(got["doc_id"]), got["term"].combine_chunks()
-    h, n = np.asarray(term.flatten()).view(np.uint64), np.asarray(got["n"].combine_chunks().flatten())
-    text = np.repeat(np.arange(len(ids)), np.diff(np.asarray(term.offsets)))
-
-    terms, at = np.unique(h, return_inverse=True)
-    df, hit = np.bincount(at), np.bincount(at, toxic[text])
     size, pos = len(ids), toxic.sum()
-    a, b = hit, df - hit
-    c, d = pos - hit, size - pos - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = size * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    terms = terms[(df >= MIN_DF) & (np.nan_to_num(chi) >= CHI_SQUARE) & (hit * size > df * pos)]
-    if not len(terms):
+    # Of the examples' terms, of which long texts have many, only the vocabulary and its postings come to the driver.
+    term = known.select("toxic", F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= MIN_DF)
+    a, b = F.col("hit"), F.col("df") - F.col("hit")
+    c, d = F.lit(pos) - a, F.lit(size - pos) - b
+    chi = F.lit(float(size)) * (a * d - b * c) * (a * d - b * c) / F.nullif((a + b) * (c + d) * pos * (size - pos), F.lit(0.0))
+    term = term.withColumn("marks", (F.coalesce(chi, F.lit(0.0)) >= CHI_SQUARE) & (F.col("hit") * F.lit(size) > F.col("df") * F.lit(pos)))
+    term = term.where(F.col("marks") | ((F.col("term").bitwiseAND(F.lit(1)) == 0) & (F.col("df") <= max(MIN_DF, COMMON * size))))
+    chosen = term.orderBy(F.desc("marks"), F.desc("df"), "term").limit(VOCABULARY).select("term", "marks").toArrow()
+    if not chosen.num_rows:
         return none
+    terms, marks = np.asarray(chosen["term"]).view(np.uint64), np.asarray(chosen["marks"])
+    order = np.argsort(terms)
+    terms, relevance = terms[order], np.where(marks[order], RELEVANCE, 1.0)
 
     vocabulary = spark.sparkContext.broadcast(terms)
 
@@ -193,8 +196,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
     rows = docs.select("text").mapInArrow(frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     count = {r.cell: r.n for r in rows}
     every = np.array([count.get(i, 0) for i in range(len(terms))], float)
-    idf = np.log((1 + count.get(-1, 0)) / (1 + every))
-
+    idf = np.log((1 + count.get(-1, 0)) / (1 + every)) * relevance
+
+    posting = known.select("doc_id", F.explode(F.arrays_zip("term", "n")).alias("x")).select("doc_id", "x.term", "x.n")
+    of = F.broadcast(spark.createDataFrame(pa.table({"term": terms.view(np.int64)})))  # VOCABULARY rows at most
+    got = posting.join(of, "term").toArrow()
+    discard(known)
+    by_id = np.argsort(ids)
+    h, n = np.asarray(got["term"]).view(np.uint64), np.asarray(got["n"])
+    text = by_id[np.searchsorted(ids[by_id], np.asarray(got["doc_id"]))] if got.num_rows else np.zeros(0, np.int64)
     at, example, value = vectors(h, text, n, terms, idf)
     index = build(terms, idf, ids, toxic, at, example, value)
     order = np.lexsort((at, example))
@@ -216,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document row: doc_id, held_out, score, predicted, evidence (nearest examples as doc_id:label:cosine).
 
-    A null or empty text, or one without a known term, has the share of toxic examples among those without a neighbour, and no
+    A null or empty text, or one without a term of the vocabulary, has the share of toxic examples among those without a neighbour, and no
     evidence. Without labels of both kinds every score is their smoothed share. Of a document labelled twice the higher label counts.
     A null doc_id is not held out. Texts are read whole.
     """
