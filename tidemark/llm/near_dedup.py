@@ -18,7 +18,11 @@ that occur once, it is the Jaccard index of the shingle sets. Steps:
    lost. Members of such a bucket are dealt to blocks by hash; a task holds two blocks, looks at the signatures of all pairs
    between them, and passes on members, not pairs, so rows stay linear in a bucket's size up to BLOCK. Texts are read of those
    members only, once a block pair. Pairs whose ends the links of the same task have joined meanwhile are not compared.
-5. A comparison takes an estimate from the signatures (below ESTIMATE it ends; 0.8 is about 5 deviations away), then the exact index.
+5. A comparison takes an estimate from the signatures (below ESTIMATE it ends; 0.8 is about 5 deviations away), then the exact index:
+   from counts of shared shingles, one member against all at once, where no shingle repeats; else pair by pair, below a bound.
+
+Texts are shuffled once, equal ones collapsed before it, and only those of nodes that share a bucket are kept for the comparisons. The plan is the
+same at every size; nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -39,8 +43,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.6
-BLOCK = 256  # members of a bucket of several components that meet in one task
-BROADCAST_NODES = 500_000  # of 16 bytes; more are joined by a shuffle of the texts
+BLOCK = 512  # members of a bucket of several components that meet another such block in one task
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,9 +103,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, text, w = weighted(texts[lo:hi])
             sig = prob_min_hash(h, text, w, hi - lo)
             some = np.bincount(text, minlength=hi - lo) > 0
-            key = mix((sig.reshape(-1, BANDS, ROWS) * steps).sum(2, dtype=np.uint64) + band).astype(np.int64)
+            small = (sig >> np.uint64(40)).astype(np.uint16)
+            # From the same 16 bits of a register that later tell whether two signatures share a band.
+            key = mix((small.astype(np.uint64).reshape(-1, BANDS, ROWS) * steps).sum(2, dtype=np.uint64) + band).astype(np.int64)
             n = np.where(some, BANDS, 0)
-            small = (sig >> np.uint64(40)).astype(np.uint16).tobytes()
+            small = small.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id")[lo:hi],
@@ -159,79 +164,107 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places x < y of the likely pairs from two components that this group is to compare, and the component of each row.
-
-    A pair of several shared buckets is compared in the first of them only.
-    """
+def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+    """Signatures, block and component of a group's rows, its band, and whether only rows of different blocks are to meet."""
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    bucket = np.asarray(t["buckets"].combine_chunks().flatten()).reshape(-1, BANDS)
-    block = np.asarray(t["block"])
     root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)[1]
-    here, apart = t["bucket"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
-    xs, ys = [], []
-    for x in range(len(sig) - 1):
-        y = np.arange(x + 1, len(sig))
-        y = y[(root[y] != root[x]) & ((block[y] != block[x]) if apart else True)]
-        if not len(y):
-            continue
-        same = bucket[y] == bucket[x]
-        y = y[bucket[x][same.argmax(1)] == here]
-        y = y[(sig[y] == sig[x]).mean(1) >= ESTIMATE]
-        xs.append(np.full(len(y), x))
-        ys.append(y)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *xs]), np.concatenate([none, *ys]), root
+    return sig, np.asarray(t["block"]), root, t["band"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
+
+
+def _partners(x: int, sig: np.ndarray, block: np.ndarray, root: np.ndarray, band: int, apart: bool) -> np.ndarray:
+    """Later rows of other components that are likely near row x, and share no earlier band with it: each pair is compared in its first."""
+    y = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & ((block[x + 1 :] != block[x]) if apart else True))
+    if not len(y):
+        return y
+    same = sig[y] == sig[x]
+    some = same.sum(1) >= ESTIMATE * REGISTERS
+    y, same = y[some], same[some]
+    return y[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches):
         if t.num_rows > 1:
-            x, y, _ = _open_pairs(t)
-            if len(x):
-                yield from t.take(pa.array(np.union1d(x, y))).combine_chunks().to_batches()
+            held = _members(t)
+            open_ = np.zeros(t.num_rows, bool)
+            for x in range(t.num_rows - 1):
+                y = _partners(x, *held)
+                open_[y] = True
+                open_[x] |= len(y) > 0
+            if open_.any():
+                yield from t.filter(pa.array(open_)).combine_chunks().to_batches()
+
+
+class Shingles:
+    """The shingles of a group's texts, coded from 0, for the index of one text with many at once."""
+
+    def __init__(self, texts: list[str]):
+        h, of, self.weight = (np.concatenate(x) for x in zip(*((h, text + lo, w) for lo, hi in chunks(texts) for h, text, w in [weighted(texts[lo:hi])])))
+        self.code = np.unique(h, return_inverse=True)[1]
+        self.cut = np.searchsorted(of, np.arange(len(texts) + 1))
+        self.n = np.diff(self.cut)
+        total = np.bincount(of, self.weight, len(texts))
+        self.plain = total == self.n  # no shingle occurs twice
+        self.part = self.weight / total[of]
+        self.mark = np.zeros(self.code.max(initial=0) + 1)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.cut[i], self.cut[i + 1])
+        return self.code[at], self.weight[at]
+
+    def similar(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of y whose index with x is SIMILARITY or more."""
+        own = slice(self.cut[x], self.cut[x + 1])
+        n = self.n[y]
+        at = np.repeat(self.cut[y] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        first = np.cumsum(n) - n
+        self.mark[self.code[own]] = self.part[own]
+        # Each shared shingle adds the smaller of its shares of the two texts at most: an upper bound of the index.
+        bound = np.add.reduceat(np.minimum(self.mark[self.code[at]], self.part[at]), first)
+        self.mark[self.code[own]] = 1.0
+        both = np.add.reduceat(self.mark[self.code[at]] > 0, first)
+        self.mark[self.code[own]] = 0.0
+        plain = self.plain[y] & self.plain[x]
+        near = np.where(plain, both >= SIMILARITY * (self.n[x] + n - both) - 1e-9, False)
+        for k in np.flatnonzero(~plain & (bound >= SIMILARITY - 1e-9)):
+            near[k] = probability_jaccard(self.row(x), self.row(y[k])) >= SIMILARITY
+        return y[near]
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches):
         if t.num_rows < 2:
             continue
-        xs, ys, root = _open_pairs(t)
-        sets, node = _shingle_sets(t["text"].to_pylist()), t["node"].to_pylist()
+        sig, block, root, band, apart = _members(t)
+        sets, node = Shingles(t["text"].to_pylist()), t["node"].to_pylist()
         a, b = [], []
-        for x, y in zip(xs.tolist(), ys.tolist()):
-            if root[x] != root[y] and probability_jaccard(sets[x], sets[y]) >= SIMILARITY:
-                root[root == root[y]] = root[x]
-                a.append(node[x])
-                b.append(node[y])
+        for x in range(t.num_rows - 1):
+            y = _partners(x, sig, block, root, band, apart)
+            for z in sets.similar(x, y) if len(y) else y:
+                if root[x] != root[z]:
+                    root[root == root[z]] = root[x]
+                    a.append(node[x])
+                    b.append(node[z])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 PAIR = "a binary, b binary"
-MEMBER = "bucket long, i int, j int, block int, node binary, root binary, sig binary, buckets array<long>"
+MEMBER = "bucket long, i int, j int, block int, node binary, root binary, sig binary, band int"
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
 
 
-def _texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    nodes = nodes.distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    # Equal texts meet here; only one row of each goes on.
-    return keep(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
-
-
 def _confirm(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs that are similar, written to the shared folder."""
     p = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
     p = p.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
     likely = keep(p.mapInArrow(_likely, PAIR), "likely")
-    one = _texts(likely.select(F.explode(F.array("a", "b")).alias("node")), texts)
-    p = likely.join(one.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    p = p.join(one.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    p = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    p = p.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     out = keep(p.mapInArrow(_similar, PAIR), "links")
-    discard(likely, one)
+    discard(likely)
     return out
 
 
@@ -243,7 +276,7 @@ def _largest(wide: DataFrame) -> DataFrame:
 
 
 def _rest(wide: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join all components of wide (bucket, node, root) that a similar pair of a shared bucket joins.
+    """Links that join all components of wide (bucket, band, node, root) that a similar pair of a shared bucket joins.
 
     Blocks below `others` hold members outside a bucket's largest component; they meet each other and all blocks of that component.
     """
@@ -254,18 +287,17 @@ def _rest(wide: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     block = F.when(own, F.col("others") + F.pmod(spread, "mains")).otherwise(F.pmod(spread, "others")).cast("int")
     open_ = open_.withColumns({"others": others, "mains": mains}).withColumn("block", block)
     met = F.explode(F.sequence(F.lit(0), F.when(own, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1))
-    open_ = open_.select("bucket", "node", "root", "block", met.alias("met"))
-    open_ = open_.select("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), "block", "node", "root")
+    open_ = open_.select("bucket", "band", "node", "root", "block", met.alias("met"))
+    open_ = open_.select("bucket", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"), "block", "node", "root", "band")
     key = ["bucket", "i", "j"]
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(*key).sortWithinPartitions(*key)
 
-    full = open_.join(sigs, "node").select(*key, "block", "node", "root", "sig", "buckets")
+    full = open_.join(sigs, "node").select(*key, "block", "node", "root", "sig", "band")
     likely = keep(dealt(full).mapInArrow(_open, MEMBER), "open")
-    one = _texts(likely.select("node"), texts)
-    out = keep(dealt(likely.join(one, "node")).mapInArrow(_join, PAIR), "links")
-    discard(likely, one)
+    out = keep(dealt(likely.join(texts, "node")).mapInArrow(_join, PAIR), "links")
+    discard(likely)
     return out
 
 
@@ -309,11 +341,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     texts, signed = _signed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sigs = keep(signed.select("node", "sig", "buckets").dropDuplicates(["node"]), "nodes")
-    member = sigs.select("node", F.explode("buckets").alias("bucket"))
+    member = sigs.select("node", F.posexplode("buckets").alias("band", "bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    member = keep(member.join(shared, "bucket"), "buckets")
-    member = member.join(member.groupBy("node").agg(F.sum("n").alias("central")), "node")
-    member = keep(member.select("bucket", "node", F.struct("central", "node").alias("rank")), "members")
+    shared = keep(member.join(shared, "bucket"), "buckets")
+    central = keep(shared.groupBy("node").agg(F.sum("n").alias("central")), "central")
+    member = keep(shared.join(central, "node").select("bucket", "band", "node", F.struct("central", "node").alias("rank")), "members")
+    # The one shuffle of texts. Equal ones collapse in the map tasks; min takes one of them.
+    texts = keep(texts.groupBy("node").agg(F.min("text").alias("text")).join(central.select("node"), "node"), "texts")
+    discard(shared, central)
     ends = member.groupBy("bucket").agg(F.max("rank").alias("top"), F.min("rank").alias("end"))
     pairs = member.join(ends, "bucket").select("node", F.explode(F.array("top.node", "end.node")).alias("lead"))
     first = _confirm(_pairs(pairs), sigs, texts)
@@ -328,7 +363,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         root = components(first.unionByName(second))
         discard(wide)
         wide = keep(member.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "wide")
-    third = _rest(wide.select("bucket", "node", "root"), sigs, texts)
+    third = _rest(wide.select("bucket", "band", "node", "root"), sigs, texts)
     if third.limit(1).count():
         root = components(first.unionByName(second).unionByName(third))
 
@@ -339,7 +374,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     whole = whole.select("root", F.col("m.doc_id").alias("class_id"), F.col("m.node").alias("class_node"), "class_size", "n_texts")
     out = keep(node.select("node", "root").join(whole, "root").drop("root"), "classes")
-    discard(sigs, member, wide, first, second, third)
+    discard(sigs, member, wide, first, second, third, texts)
     return out, signed.select("doc_id", "node")
 
 
