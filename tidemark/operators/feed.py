@@ -66,13 +66,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def mark_to_market(positions: DataFrame, quotes: DataFrame) -> DataFrame:
-    """As-of join: each position row (symbol, ts_us, pos_id) with the last quote at its time or before.
+    """As-of join: each position row (symbol, ts_us, pos_id) with the last quote at its time or before; of quotes at one time, that of the largest seq.
 
     A union ordered by time and one window, so that a symbol's rows are sorted once and never paired.
     """
-    p = positions.select("symbol", "ts_us", "pos_id", F.lit(None).cast("double").alias("last"), F.lit(1).alias("kind"))
-    q = quotes.select("symbol", "ts_us", F.lit(None).cast("long").alias("pos_id"), "last", F.lit(0).alias("kind"))
-    w = Window.partitionBy("symbol").orderBy("ts_us", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    p = positions.select("symbol", "ts_us", "pos_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("last"), F.lit(1).alias("kind"))
+    q = quotes.select("symbol", "ts_us", F.lit(None).cast("long").alias("pos_id"), F.col("seq").cast("long").alias("seq"), "last", F.lit(0).alias("kind"))
+    w = Window.partitionBy("symbol").orderBy("ts_us", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return p.unionByName(q).withColumn("mark", F.last("last", ignorenulls=True).over(w)).where("kind = 1").select("symbol", "ts_us", "pos_id", "mark")
 
 
@@ -91,3 +91,30 @@ def jitter_average(quotes: DataFrame, decay: float = 0.95) -> DataFrame:
 
     j = jitter(quotes).select("symbol", "ts_us", "seq", F.col("jitter_us").cast("double").alias("jitter_us"))
     return ordered_fold(j, ["symbol"], ["ts_us", "seq"], step, "mean_jitter double").select("symbol", "seq", "mean_jitter")
+
+
+def latest(quotes: DataFrame) -> DataFrame:
+    """Market snapshot: the last packet of each symbol, by seq. An aggregation, so it also runs on a stream in update mode."""
+    return quotes.groupBy("symbol").agg(F.max_by(F.struct(*[c for c in quotes.columns if c != "symbol"]), "seq").alias("x")).select("symbol", "x.*")
+
+
+def symbols(df: DataFrame, names: list[str], column: str = "symbol") -> DataFrame:
+    """Rows whose symbol is one of the names, whatever the case."""
+    return df.where(F.lower(column).isin([n.lower() for n in names]))
+
+
+def tick_price(price: Column) -> Column:
+    """A price rounded by its level: 2 digits from 100 up, 4 from 1 up, 6 below."""
+    return F.when(price >= 100, F.round(price, 2)).when(price >= 1, F.round(price, 4)).otherwise(F.round(price, 6))
+
+
+def nearest_rank(values: DataFrame, p: float, by: str = "symbol", value: str = "latency_us") -> DataFrame:
+    """(by, value): the value of rank ceil(p n), from 1, in each group."""
+    return values.groupBy(by).agg(F.expr(f"percentile_disc({float(p)}) WITHIN GROUP (ORDER BY {value})").alias(value))
+
+
+def counters(quotes: DataFrame, stale_us: int, spike_us: int) -> DataFrame:
+    """Per symbol the counts of `stats`, and stale (a pause of more than stale_us before the packet) and spikes (latency above spike_us)."""
+    q = jitter(quotes)
+    more = q.groupBy("symbol").agg(F.count_if(F.col("delta_us") > stale_us).alias("stale"), F.count_if(F.col("latency_us") > spike_us).alias("spikes"), F.avg("jitter_us").alias("jitter_avg"))
+    return stats(quotes).join(more, "symbol")

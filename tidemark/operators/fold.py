@@ -24,7 +24,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):
-                key = tuple(row[i] for i in at)
+                key = tuple(None if row[i] != row[i] else row[i] for i in at)  # a null number arrives as NaN
                 if key != last:
                     last, state = key, None
                 state, values = step(state, row)

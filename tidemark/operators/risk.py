@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +26,77 @@ def tail(rets: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def drawdown(rets: DataFrame) -> DataFrame:
-    """(symbol, day, equity, peak, drawdown): equity starts at 1, and so does its peak."""
-    eq = F.exp(F.sum(F.log1p("ret")).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
-    e = rets.where("ret is not null and ret > -1").select("symbol", "day", eq.alias("equity"))
-    e = e.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))))
+    """(symbol, day, equity, peak, drawdown): equity starts at 1, and so does its peak. A total loss takes the equity to 0."""
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    e = rets.where("ret is not null").select("symbol", "day", F.product(1 + F.col("ret")).over(upto).alias("equity"))
+    e = e.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(upto)))
     return e.withColumn("drawdown", 1 - F.col("equity") / F.col("peak"))
 
 
+def max_drawdown(rets: DataFrame) -> DataFrame:
+    """(symbol, max_drawdown, max_drawdown_duration): the deepest fall from a peak, and the most bars in a row without a new one."""
+    e = drawdown(rets)
+    before = F.greatest(F.lit(1.0), F.max("equity").over(by_symbol().rowsBetween(Window.unboundedPreceding, -1)))
+    high = F.col("equity") > F.coalesce(before, F.lit(1.0))
+    e = e.withColumn("high", high.cast("int")).withColumn("stretch", F.sum("high").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    s = e.groupBy("symbol", "stretch").agg(F.max("drawdown").alias("d"), F.sum(1 - F.col("high")).alias("bars"))
+    return s.groupBy("symbol").agg(F.max("d").alias("max_drawdown"), F.max("bars").cast("long").alias("max_drawdown_duration"))
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the normal distribution function by Acklam's rational approximation; -1e9 from 0 down and 1e9 from 1 up."""
+    # Acklam's coefficients and the edge of his tails
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    edge = 0.02425
+
+    def poly(k: tuple[float, ...], x: Column) -> Column:
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out
+
+    q, r = F.sqrt(-2 * F.ln(F.least(p, 1 - p))), p - 0.5
+    tail_ = poly(c, q) / poly(d, q)
+    return F.when(p <= 0, -1e9).when(p >= 1, 1e9).when(p < edge, tail_).when(p > 1 - edge, -tail_).otherwise(r * poly(a, r * r) / poly(b, r * r))
+
+
+def raw_moments(rets: DataFrame) -> DataFrame:
+    """(symbol, skew_raw, kurt_raw): means of the third and fourth powers of standardised returns (sample deviation, no bias correction), the latter less 3."""
+    n = F.count("ret")
+    shrink = (n - 1) / n
+    return rets.where("ret is not null").groupBy("symbol").agg(
+        (F.skewness("ret") * F.pow(shrink, F.lit(1.5))).alias("skew_raw"), ((F.kurtosis("ret") + 3) * shrink * shrink - 3).alias("kurt_raw")
+    )
+
+
+def full_report(rets: DataFrame, risk_free: float = 0.0, periods: float = DAYS) -> DataFrame:
+    """All measures by symbol: moments; Gaussian, Cornish-Fisher and historical VaR and expected shortfall at 95 and 99 %; maximum
+    drawdown and its duration; annualised return and volatility; Sharpe, Sortino and Calmar ratios. A ratio over nothing is 0."""
+    x = F.col("ret")
+    n = F.count(x)
+    base = risk_free / periods
+    kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
+    m = rets.where("ret is not null").groupBy("symbol").agg(
+        n.alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sd"), adjusted_skewness(x).alias("skew"), kurt.alias("kurt"),
+        F.sqrt(F.avg(F.when(x < base, (x - base) * (x - base)).otherwise(0.0)) * periods).alias("down"),
+    )
+    some = F.col("sd") > 1e-12
+    m = m.withColumns({c: F.when(some, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("skew", "kurt")})
+    s, k = F.col("skew"), F.col("kurt")
+    for level in (0.95, 0.99):
+        z, name = NormalDist().inv_cdf(1 - level), round(level * 100)
+        cf = z + (z * z - 1) * s / 6 + (z**3 - 3 * z) * k / 24 - (2 * z**3 - 5 * z) * s * s / 36
+        m = m.withColumns({f"var_gauss_{name}": -(F.col("mean") + z * F.col("sd")), f"var_cf_{name}": -(F.col("mean") + cf * F.col("sd"))})
+        m = m.join(tail(rets, level).toDF("symbol", f"hist_var_{name}", f"es_{name}"), "symbol")
+    m = m.join(max_drawdown(rets), "symbol").withColumns({"ann_return": F.col("mean") * periods, "ann_vol": F.col("sd") * math.sqrt(periods)})
+    ratio = lambda a, b: F.when(F.col(b) > 1e-12, a / F.col(b)).otherwise(0.0)
+    excess = F.col("ann_return") - risk_free
+    return m.withColumns({"sharpe": ratio(excess, "ann_vol"), "sortino": ratio(excess, "down"), "calmar": ratio(F.col("ann_return"), "max_drawdown")}).drop("down")
+
+
 def report(rets: DataFrame, level: float = 0.95) -> DataFrame:
     """Moments, Gaussian, Cornish-Fisher and historical VaR, expected shortfall, Sharpe and Sortino ratios by symbol."""
     x = F.col("ret")

@@ -12,17 +12,22 @@ LEAST_VARIANCE, USUAL_DEVIATION = 1e-8, 0.02
 REGIMES = (("low", 0.75), ("normal", 1.35), ("elevated", 2.0))  # below these ratios; beyond, "extreme"
 
 
-def garch_path(rets: DataFrame, omega: float = OMEGA, alpha: float = ALPHA, beta: float = BETA, decay: float = DECAY) -> DataFrame:
-    """(symbol, day, variance, ewma) after each non-null return, by the GARCH(1,1) and the exponentially weighted recursion."""
+def garch_path(rets: DataFrame, omega: float = OMEGA, alpha: float = ALPHA, beta: float = BETA, decay: float = DECAY, long_run: bool = False) -> DataFrame:
+    """(symbol, day, variance, ewma) after each non-null return, by the GARCH(1,1) and the exponentially weighted recursion.
+
+    Both start from the first squared return, or with long_run from the variance omega / (1 - alpha - beta) before it.
+    """
     r = rets.where(F.col("ret").isNotNull()).select("symbol", "day", "ret").withColumn("omega", F.lit(omega))
-    return _path(r, alpha, beta, decay).select("symbol", "day", "variance", "ewma")
+    return _path(r, alpha, beta, decay, long_run).select("symbol", "day", "variance", "ewma")
 
 
-def _path(r: DataFrame, alpha: float, beta: float, decay: float) -> DataFrame:
+def _path(r: DataFrame, alpha: float, beta: float, decay: float, long_run: bool = False) -> DataFrame:
     decay = min(max(decay, 0.5), 0.999)
 
     def step(state, row):
         q, omega = row[2] * row[2], row[3]
+        if state is None and long_run:
+            state = (omega / (1 - alpha - beta),) * 2
         v, e = (omega + (alpha + beta) * q, q) if state is None else (omega + alpha * q + beta * state[0], decay * state[1] + (1 - decay) * q)
         state = max(v, FLOOR), max(e, FLOOR)
         return state, state

@@ -149,7 +149,7 @@ def risk_report(spark, d):
 
 
 @query(
-    f"""WITH {BARS}, e AS (SELECT symbol, day, exp(sum(ln(1 + ret)) OVER w) AS equity FROM rets WHERE ret > -1 WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+    f"""WITH {BARS}, e AS (SELECT symbol, day, product(1 + ret) OVER w AS equity FROM rets WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY day)),
 p AS (SELECT *, greatest(1, max(equity) OVER (PARTITION BY symbol ORDER BY day)) AS peak FROM e)
 SELECT symbol, day, round(equity, 6) + 0.0 AS equity, round(1 - equity / peak, 6) + 0.0 AS drawdown FROM p"""
 )
@@ -222,12 +222,12 @@ def event_routing(spark, d):
 
 
 @query(
-    f"""WITH {QUOTES}, p AS (SELECT symbol, ts_us + 1000000 AS ts_us, seq AS pos_id FROM quotes WHERE seq % 10 = 0)
+    f"""WITH {QUOTES}, p AS (SELECT symbol, ts_us + 1000000 AS ts_us, seq AS pos_id FROM quotes)
 SELECT p.symbol, p.ts_us, p.pos_id, q.last AS mark FROM p ASOF JOIN quotes q ON p.symbol = q.symbol AND p.ts_us >= q.ts_us"""
 )
 def mark_to_market(spark, d):
     q = _quotes(spark, d)
-    return feed.mark_to_market(q.where("seq % 10 = 0").select("symbol", (F.col("ts_us") + 1_000_000).alias("ts_us"), F.col("seq").alias("pos_id")), q)
+    return feed.mark_to_market(q.select("symbol", (F.col("ts_us") + 1_000_000).alias("ts_us"), F.col("seq").alias("pos_id")), q)
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) + 0.0 AS dot FROM embeddings")
@@ -279,6 +279,110 @@ SELECT symbol, day, round(v, 6) + 0.0 AS variance, round(e, 6) + 0.0 AS ewma FRO
 def garch_path(spark, d):
     return _round(volatility.garch_path(features.returns(_bars(spark, d))), "variance", "ewma")
 
+_LEVELS = ((95, 0.05), (99, 0.01))
+_TAILS = "".join(
+    f""",
+tail{n} AS (SELECT symbol, -max(ret) FILTER (k = floor({1 - (1 - a)!r} * n + 1e-9) + 1) AS hist_var_{n}, -avg(ret) FILTER (k <= greatest(floor({1 - (1 - a)!r} * n + 1e-9), 1)) AS es_{n} FROM o GROUP BY symbol)"""
+    for n, a in _LEVELS
+)
+_DRAWN = """,
+eq AS (SELECT symbol, day, product(1 + ret) OVER (PARTITION BY symbol ORDER BY day) AS equity FROM rets WHERE ret IS NOT NULL),
+pk AS (SELECT *, greatest(1, coalesce(max(equity) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1)) AS before FROM eq),
+st AS (SELECT *, sum(CASE WHEN equity > before THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY day) AS stretch FROM pk),
+sd AS (SELECT symbol, max(1 - equity / greatest(before, equity)) AS d, count_if(equity <= before) AS bars FROM st GROUP BY symbol, stretch),
+drawn AS (SELECT symbol, max(d) AS max_drawdown, max(bars)::BIGINT AS max_drawdown_duration FROM sd GROUP BY symbol)"""
+
+
+def _var(n: int, p: float) -> str:
+    z = NormalDist().inv_cdf(1 - (1 - p))
+    cf = f"({z!r} + ({z * z - 1!r}) * skew / 6 + ({z**3 - 3 * z!r}) * kurt / 24 - ({2 * z**3 - 5 * z!r}) * skew * skew / 36)"
+    return f"round(-(mean + ({z!r}) * sd), 6) + 0.0 AS var_gauss_{n}, round(-(mean + {cf} * sd), 6) + 0.0 AS var_cf_{n}, round(hist_var_{n}, 6) + 0.0 AS hist_var_{n}, round(es_{n}, 6) + 0.0 AS es_{n}"
+
+
+@query(
+    f"""WITH {BARS}, o AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ret) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL){_TAILS}{_DRAWN},
+m AS (SELECT symbol, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, skewness(ret) AS skew, kurtosis(ret) AS kurt, avg(ret) * 365 AS ann_return, stddev_samp(ret) * sqrt(365) AS ann_vol,
+  sqrt(avg(CASE WHEN ret < 0.02 / 365 THEN pow(ret - 0.02 / 365, 2) ELSE 0 END) * 365) AS down FROM rets WHERE ret IS NOT NULL GROUP BY symbol)
+SELECT symbol, n, round(mean, 6) + 0.0 AS mean, round(sd, 6) + 0.0 AS sd, round(skew, 6) + 0.0 AS skew, round(kurt, 6) + 0.0 AS kurt, {", ".join(_var(n, p) for n, p in _LEVELS)},
+  round(max_drawdown, 6) + 0.0 AS max_drawdown, max_drawdown_duration, round(ann_return, 6) + 0.0 AS ann_return, round(ann_vol, 6) + 0.0 AS ann_vol, round((ann_return - 0.02) / ann_vol, 6) + 0.0 AS sharpe,
+  round((ann_return - 0.02) / down, 6) + 0.0 AS sortino, round(ann_return / max_drawdown, 6) + 0.0 AS calmar FROM m JOIN tail95 USING (symbol) JOIN tail99 USING (symbol) JOIN drawn USING (symbol)"""
+)
+def risk_report_full(spark, d):
+    r = risk.full_report(features.returns(_bars(spark, d)), risk_free=0.02)
+    return _round(r, *[c for c in r.columns if c not in ("symbol", "n", "max_drawdown_duration")])
+
+
+@query(f"WITH {BARS}{_DRAWN} SELECT symbol, round(max_drawdown, 6) + 0.0 AS max_drawdown, max_drawdown_duration FROM drawn")
+def max_drawdown(spark, d):
+    return _round(risk.max_drawdown(features.returns(_bars(spark, d))), "max_drawdown")
+
+
+@query(f"WITH {BARS} SELECT symbol, round(skewness(ret) * (count(ret) - 2) / sqrt(count(ret) * (count(ret) - 1)) * pow((count(ret) - 1) / count(ret), 1.5), 6) + 0.0 AS skew_raw, round((kurtosis_pop(ret) + 3) * pow((count(ret) - 1) / count(ret), 2) - 3, 6) + 0.0 AS kurt_raw FROM rets WHERE ret IS NOT NULL GROUP BY symbol")
+def moments_raw(spark, d):
+    return _round(risk.raw_moments(features.returns(_bars(spark, d))), "skew_raw", "kurt_raw")
+
+
+@query(
+    f"""WITH {BARS} SELECT symbol, day, round(CASE WHEN count(ret) OVER w > 2 THEN CASE WHEN var_pop(ret) OVER w > 1e-14 THEN skewness(ret) OVER w ELSE 0 END END, 5) + 0.0 AS roll_skew, round(max(ret) OVER w, 6) + 0.0 AS roll_max,
+round(stddev_samp(ret) OVER w, 6) + 0.0 AS roll_vol FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"""
+)
+def rolling_stats_minperiods(spark, d):
+    r = features.rolling_stats_short(features.returns(_bars(spark, d))).select("symbol", "day", "roll_skew", "roll_max", "roll_vol")
+    return _round(_round(r, "roll_skew", places=5), "roll_max", "roll_vol")
+
+
+def _garch_sql(omega: float, start: str) -> str:
+    return f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, day, ret * ret AS q, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM rets WHERE ret IS NOT NULL),
+g AS (SELECT symbol, day, i, greatest({omega} + {volatility.ALPHA} * q + {volatility.BETA} * {start}, {volatility.FLOOR}) AS v, greatest({volatility.DECAY} * {start} + {1 - volatility.DECAY} * q, {volatility.FLOOR}) AS e FROM n WHERE i = 1
+UNION ALL SELECT n.symbol, n.day, n.i, greatest({omega} + {volatility.ALPHA} * n.q + {volatility.BETA} * g.v, {volatility.FLOOR}), greatest({volatility.DECAY} * g.e + {1 - volatility.DECAY} * n.q, {volatility.FLOOR})
+  FROM g JOIN n ON n.symbol = g.symbol AND n.i = g.i + 1)"""
+
+
+@query(f"{_garch_sql(1.2e-5, repr(1.2e-5 / (1 - volatility.ALPHA - volatility.BETA)))} SELECT symbol, day, round(v, 6) + 0.0 AS variance, round(e, 6) + 0.0 AS ewma FROM g")
+def garch_path_long_run(spark, d):
+    return _round(volatility.garch_path(features.returns(_bars(spark, d)), omega=1.2e-5, long_run=True), "variance", "ewma")
+
+
+@query(f"{_garch_sql(volatility.OMEGA, 'q')} SELECT symbol, day, round(e, 6) + 0.0 AS ewma FROM g")
+def ewma_path(spark, d):
+    return _round(volatility.garch_path(features.returns(_bars(spark, d))).select("symbol", "day", "ewma"), "ewma")
+
+
+@query(f"WITH {QUOTES} SELECT symbol, seq, ts_us, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask, last FROM quotes q WHERE seq = (SELECT max(seq) FROM quotes p WHERE p.symbol = q.symbol)")
+def market_snapshot(spark, d):
+    return _round(feed.latest(_quotes(spark, d)).select("symbol", "seq", "ts_us", "bid", "ask", "last"), "bid", "ask")
+
+
+@query(f"WITH {QUOTES}, k AS (SELECT symbol, latency_us, row_number() OVER (PARTITION BY symbol ORDER BY latency_us) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM quotes) SELECT symbol, max(latency_us) FILTER (k = ceil(0.99 * n)) AS latency_us FROM k GROUP BY symbol")
+def latency_nearest_rank(spark, d):
+    return feed.nearest_rank(_quotes(spark, d), 0.99).withColumn("latency_us", F.col("latency_us").cast("long"))
+
+
+@query(
+    f"""WITH {QUOTES}, l AS (SELECT *, lag(seq) OVER w AS p, ts_us - lag(ts_us) OVER w AS delta FROM quotes WINDOW w AS (PARTITION BY symbol ORDER BY ts_us, seq)), j AS (SELECT *, lag(delta) OVER (PARTITION BY symbol ORDER BY ts_us, seq) AS b FROM l)
+SELECT symbol, count(*) AS packets, CAST(sum(CASE WHEN p IS NOT NULL THEN greatest(seq - p - 1, 0) ELSE 0 END) AS BIGINT) AS gap_total, count(*) FILTER (seq <= p) AS out_of_order, count(*) FILTER (bid > 0 AND ask > 0 AND bid >= ask) AS crossed,
+  count(*) FILTER (delta > 1000000000) AS stale, count(*) FILTER (latency_us > 4500) AS spikes, round(avg(CASE WHEN b > 0 THEN abs(delta - b) END), 3) + 0.0 AS jitter_avg FROM j GROUP BY symbol"""
+)
+def feed_counters(spark, d):
+    c = feed.counters(_quotes(spark, d), stale_us=1_000_000_000, spike_us=4500)
+    return _round(c.drop("latency_min", "latency_max", "latency_avg"), "jitter_avg", places=3)
+
+
+@query("SELECT event_id, CASE WHEN value >= 100 THEN round(value, 2) WHEN value >= 1 THEN round(value, 4) ELSE round(value, 6) END + 0.0 AS price FROM events")
+def price_precision(spark, d):
+    return table(spark, d, "events").select("event_id", feed.tick_price(F.col("value")).alias("price"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE lower(event_type) IN ('click', 'purchase')")
+def symbol_filter(spark, d):
+    return feed.symbols(table(spark, d, "events").select("event_id", "event_type"), ["CLICK", "Purchase"], "event_type")
+
+
+@query(f"WITH {QUOTES} SELECT symbol, count_if(seq IS NULL)::BIGINT AS seq, count_if(last IS NULL)::BIGINT AS last FROM quotes GROUP BY symbol")
+def null_counts(spark, d):
+    return _quotes(spark, d).groupBy("symbol").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in ("seq", "last")])
+
+
 
 from . import evaluation, streams, tables, trading  # noqa: E402, F401  (they register theirs)
 

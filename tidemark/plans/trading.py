@@ -64,7 +64,7 @@ def pair_backtest(spark, d):
 
 _FILLS = f"""{QUOTES},
 f AS (SELECT symbol, seq, CASE WHEN user_id % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, (1 + seq % 3)::DOUBLE AS qty, CASE WHEN user_id % 2 = 0 THEN ask * 1.00005::DOUBLE ELSE bid * 0.99995::DOUBLE END AS price,
-  row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM quotes WHERE bid > 0 AND seq % 7 = 0),
+  row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i FROM quotes WHERE bid > 0),
 s AS (SELECT symbol, seq, i, sign, qty, price, 0.0::DOUBLE AS realized, sign * qty AS position, price AS avg_entry, false AS closing FROM f WHERE i = 1
   UNION ALL SELECT f.symbol, f.seq, f.i, f.sign, f.qty, f.price, CASE WHEN s.position * f.sign < 0 THEN least(abs(s.position), f.qty) * (s.avg_entry - f.price) * f.sign ELSE 0 END,
     CASE WHEN abs(s.position + f.sign * f.qty) < 1e-6 THEN 0 ELSE s.position + f.sign * f.qty END,
@@ -74,7 +74,7 @@ t AS (SELECT *, qty * price * 0.0005::DOUBLE AS fee FROM s)"""
 
 
 def _fills(spark, d):
-    q = _quotes(spark, d).where("bid > 0 and seq % 7 = 0")
+    q = _quotes(spark, d).where("bid > 0")
     f = q.select(F.lit("main").alias("account"), "symbol", "seq", "bid", "ask", F.when(F.col("user_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (1 + F.col("seq") % 3).cast("double").alias("qty"), F.lit(False).alias("maker"))
     return strategy.positions(strategy.market_price(f))
 
@@ -99,7 +99,7 @@ def account_summary(spark, d):
 
 @query(
     f"""WITH {QUOTES}, o AS (SELECT seq AS order_id, symbol, ts_us AS placed, user_id % 2 = 0 AS buy, user_id % 3 > 0 AS lim,
-  last * CASE WHEN (user_id % 2 = 0) = (user_id % 3 > 0) THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS price FROM quotes WHERE seq % 50 = 0),
+  last * CASE WHEN (user_id % 2 = 0) = (user_id % 3 > 0) THEN 0.5::DOUBLE ELSE 1.5::DOUBLE END AS price FROM quotes),
 h AS (SELECT order_id, seq, ts_us, CASE WHEN buy THEN ask ELSE bid END AS fill_price, row_number() OVER (PARTITION BY order_id ORDER BY ts_us, seq) AS k FROM o JOIN quotes q ON o.symbol = q.symbol AND q.ts_us >= placed
   AND CASE WHEN buy AND lim THEN ask <= price WHEN lim THEN bid >= price WHEN buy THEN ask >= price ELSE bid <= price END)
 SELECT order_id, seq, ts_us, round(fill_price, 6) + 0.0 AS fill_price FROM h WHERE k = 1"""
@@ -107,7 +107,7 @@ SELECT order_id, seq, ts_us, round(fill_price, 6) + 0.0 AS fill_price FROM h WHE
 def resting_order_fills(spark, d):
     q = _quotes(spark, d)
     buy, limit = F.col("user_id") % 2 == 0, F.col("user_id") % 3 > 0
-    o = q.where("seq % 50 = 0").select(
+    o = q.select(
         F.col("seq").alias("order_id"), "symbol", "ts_us", F.when(buy, "BUY").otherwise("SELL").alias("side"), F.when(limit, "LIMIT").otherwise("STOP").alias("type"),
         (F.col("last") * F.when(buy == limit, 0.5).otherwise(1.5)).alias("price"),
     )
