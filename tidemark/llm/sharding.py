@@ -3,6 +3,7 @@
 Records are hashed into SLOTS slots, bytes are added up per slot, and a versioned map says which shard each slot is in. A map
 is made by giving the largest slots first, each to the shard with the fewest bytes. Rebalancing edits the map: it moves as few
 bytes as bring the shards near their mean, and touches no other slot. Only the map, of SLOTS rows, is ever on the driver.
+Rows with equal doc_id and text share a slot up to CHUNK of them; more are dealt on, CHUNK to a slot, so that no row repeated often fills one.
 All work on records is DataFrame operations.
 """
 
@@ -14,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep
+from .common import discard, keep
 
 SLOTS = 8192
 SHARDS = 24
 ROW_BYTES = 8
+CHUNK = 1000
+BROADCAST_ROWS = 100_000  # repeated rows' hashes of 8 bytes; more are joined by a shuffle
 
 
 def plan(slot_bytes: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]:
@@ -85,9 +88,14 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, [r.shard for r in rows.where(F.col("version") == version).orderBy("slot").collect()]
 
 
-def slot(slots: int = SLOTS):
-    """A record's slot: hash of doc_id and text, so that rows with equal or null ids do not gather."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).cast("int")
+def record_hash():
+    """Hash of doc_id and text, so that rows with equal or null ids do not gather."""
+    return F.xxhash64("doc_id", "text")
+
+
+def slot(hashed, chunk, slots: int = SLOTS):
+    """The slot of a record by its hash, for the chunk of its repeats that it is in."""
+    return F.pmod(F.when(chunk == 0, hashed).otherwise(F.xxhash64(hashed, chunk)), F.lit(slots)).cast("int")
 
 
 def record_bytes():
@@ -106,30 +114,44 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS) -> DataF
     record's place in its shard, from 0 without gaps, by virtual slot, doc_id (null first) and checksum; equal rows take
     places in any order. A null text has size ROW_BYTES and the checksum of the empty text. grown_shard is null under this law.
     """
-    d = docs.select(
-        "doc_id", record_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), slot(slots).alias("slot")
-    )
+    d = docs.select("doc_id", record_bytes().alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), record_hash().alias("h"))
+    d = d.groupBy("doc_id", "size", "text_crc32", "h").agg(F.count("*").alias("n"))
+    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    d = d.withColumn("rows", F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("chunk") * CHUNK)).withColumn("slot", slot(F.col("h"), F.col("chunk"), slots))
     d = keep(d, "records")
     spark = docs.sparkSession
-    per = {r.slot: (r.b, r.n) for r in d.groupBy("slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    per = {r.slot: (r.b, r.n) for r in d.groupBy("slot").agg(F.sum(F.col("size") * F.col("rows")).alias("b"), F.sum("rows").alias("n")).collect()}
     shard_of = plan({s: b for s, (b, _) in per.items()}, n_shards, slots)
-    filled, rows = [0] * n_shards, []
+    filled, starts = [0] * n_shards, []
     for s in range(slots):
-        rows.append((s, shard_of[s], filled[shard_of[s]]))
+        starts.append((s, shard_of[s], filled[shard_of[s]]))
         filled[shard_of[s]] += per.get(s, (0, 0))[1]
     # One row for each slot: a fixed size
-    where = F.broadcast(spark.createDataFrame(rows, "slot int, shard int, start long").coalesce(1))
-    place = F.row_number().over(Window.partitionBy("slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    d = d.withColumn("place", place).join(where, "slot")
+    where = F.broadcast(spark.createDataFrame(starts, "slot int, shard int, start long").coalesce(1))
+    before = Window.partitionBy("slot").orderBy("doc_id", "text_crc32", "size", "h", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("place", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long"))).join(where, "slot")
+    d = d.withColumn("place", F.explode(F.sequence(F.col("place"), F.col("place") + F.col("rows") - 1)))
     return d.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot")
     )
 
 
 def assign(docs: DataFrame, n_shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Pipeline stage: the documents with their virtual_slot and shard, by a map made from their bytes."""
-    d = docs.select(slot(slots).alias("slot"), record_bytes().alias("size"))
-    shard_of = plan(slot_bytes(d), n_shards, slots)
+    """Pipeline stage: the documents with their virtual_slot and shard, by a map made from their bytes.
+
+    Null and empty texts count ROW_BYTES. Of rows repeated more than CHUNK times, each goes to one of their slots by its place in the table.
+    """
+    mark = docs.withColumn("__tm_h", record_hash())
+    many = keep(mark.groupBy("__tm_h").agg(F.count("*").alias("__tm_n")).where(F.col("__tm_n") > CHUNK), "repeated")
+    heavy = many.count()
+    if heavy:
+        mark = mark.withColumn("__tm_id", F.monotonically_increasing_id()).join(F.broadcast(many) if heavy <= BROADCAST_ROWS else many, "__tm_h", "left")
+        chunk = F.coalesce(F.pmod(F.xxhash64("__tm_id"), F.ceil(F.col("__tm_n") / CHUNK)), F.lit(0).cast("long"))
+    else:
+        chunk = F.lit(0).cast("long")
+        discard(many)
+    mark = mark.select(*docs.columns, slot(F.col("__tm_h"), chunk, slots).alias("__tm_slot"))
+    shard_of = plan(slot_bytes(mark.select(F.col("__tm_slot").alias("slot"), record_bytes().alias("size"))), n_shards, slots)
     where = map_table(docs.sparkSession, shard_of).select(F.col("slot").alias("__tm_slot"), F.col("shard").alias("__tm_shard"))
-    out = docs.withColumn("__tm_slot", slot(slots)).join(F.broadcast(where), "__tm_slot")
+    out = mark.join(F.broadcast(where), "__tm_slot")
     return out.select(*docs.columns, F.col("__tm_slot").alias("virtual_slot"), F.col("__tm_shard").alias("shard"))
