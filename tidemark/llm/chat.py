@@ -39,7 +39,7 @@ def render(turns: DataFrame) -> DataFrame:
     best = maximal(turns)
     t = turns.select("conv_id", "turn", "role", "text").join(best, turns["conv_id"].eqNullSafe(best["conv_id"])).drop(best["conv_id"])
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    t = t.groupBy("conv_id", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), line.alias("line")))).alias("all"))
+    t = t.groupBy("conv_id", "n_turns", "copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("all"))  # nulls first, as in `maximal`
     return t.select("conv_id", "n_turns", "copies", F.array_join(F.transform("all", lambda x: x["line"]), "").alias("rendered"))
 
 
