@@ -9,7 +9,7 @@ import pytest
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.01"
-TABLES = "lineitem orders events embeddings documents labels".split()
+TABLES = "nation lineitem orders events embeddings documents labels".split()
 
 
 def rows(df):

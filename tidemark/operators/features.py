@@ -84,10 +84,10 @@ def _cpt_values(x: np.ndarray, window: int, least: int) -> np.ndarray:
     return out
 
 
-def rolling_cpt(rets: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(symbol, day, pt_value) and the extra columns: cumulative prospect theory value of the last WINDOW returns, null below LEAST of them.
+def rolling_cpt(rets: DataFrame, extra: tuple[str, ...] = (), window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """(symbol, day, pt_value) and the extra columns: cumulative prospect theory value of the last `window` returns, null below `least` of them.
 
-    One shuffle by symbol. A symbol's rows are read in order as Arrow batches; WINDOW - 1 returns are carried from batch to batch, and each
+    One shuffle by symbol. A symbol's rows are read in order as Arrow batches; window - 1 returns are carried from batch to batch, and each
     batch's windows are ranked in numpy.
     """
     df = rets.select("symbol", "day", "ret", *[c for c in extra if c != "ret"])
@@ -106,8 +106,8 @@ def rolling_cpt(rets: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
                     end += 1
                 held = held if last == (names[at],) else np.zeros(0)
                 own = np.concatenate((held, x[at:end]))
-                values[at:end] = _cpt_values(own, WINDOW, LEAST)[len(held) :]
-                last, held = (names[at],), own[-(WINDOW - 1) :]
+                values[at:end] = _cpt_values(own, window, least)[len(held) :]
+                last, held = (names[at],), own[-(window - 1) :]
                 at = end
             columns = [b.column(f.name) for f in schema[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.float64(), from_pandas=True)], names=schema.names)
@@ -130,10 +130,10 @@ def lottery_features(bars: DataFrame) -> DataFrame:
     return f.na.drop("any")
 
 
-def donchian(bars: DataFrame, lookback: int = 20) -> DataFrame:
-    """Adds the highest and lowest of the lookback closes before the bar, null where there are fewer."""
+def donchian(bars: DataFrame, lookback: int = 20, least: int | None = None) -> DataFrame:
+    """Adds the highest and lowest of the lookback closes before the bar, null where there are fewer than `least` (all of them, if not given)."""
     w = by_symbol().rowsBetween(-lookback, -1)
-    full = F.count("close").over(w) >= lookback
+    full = F.count("close").over(w) >= (lookback if least is None else least)
     return bars.withColumns({"channel_high": F.when(full, F.max("close").over(w)), "channel_low": F.when(full, F.min("close").over(w))})
 
 

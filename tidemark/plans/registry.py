@@ -384,7 +384,7 @@ def null_counts(spark, d):
 
 
 
-from . import evaluation, streams, tables, trading  # noqa: E402, F401  (they register theirs)
+from . import engine, evaluation, streams, tables, trading  # noqa: E402, F401  (they register theirs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
