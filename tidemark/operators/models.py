@@ -1,27 +1,86 @@
-"""Models of the lottery label on past features: expanding folds in time, weights for the rare class, a leaderboard by AUC."""
+"""Models of the lottery label on past features: expanding folds in time, weights for the rare class, a leaderboard by AUC.
+
+Logistic regression, random forest and boosted trees are Spark ML's. `AdaBoost` fits shallow trees in rounds over Spark ML's decision tree.
+"""
 
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import time
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import Store, scratch
 from . import metrics
 
 FEATURES = ["pt_value", "roll_skew", "roll_max", "roll_vol", "turnover"]
 
+
+
+class AdaBoost:
+    """Discrete boosting of trees: a round's tree weighs ln((1 - err) / err) times the rate, and the rows it misses gain weight by it.
+
+    Weights are written to the shared folder between rounds, so no plan grows with the rounds.
+    """
+
+    def __init__(self, rounds: int = 50, rate: float = 1.0, depth: int = 1, features: list[str] = FEATURES, label: str = "y", seed: int = 7):
+        self.rounds, self.rate, self.depth, self.features, self.label, self.seed = rounds, rate, depth, features, label, seed
+
+    def fit(self, rows: DataFrame) -> AdaBoostModel:
+        spark = rows.sparkSession
+        joined = VectorAssembler(inputCols=self.features, outputCol="joined", handleInvalid="skip")
+        d = joined.transform(rows).select("joined", F.col(self.label).cast("double").alias("label"), F.col("weight").cast("double").alias("w") if "weight" in rows.columns else F.lit(1.0).alias("w"))
+        at, trees = [], []
+        for i in range(self.rounds):
+            at.append(scratch(spark, "boost"))
+            d.write.parquet(at[-1])
+            d = spark.read.schema(d.schema).parquet(at[-1])
+            tree = DecisionTreeClassifier(
+                featuresCol="joined", labelCol="label", weightCol="w", maxDepth=self.depth, seed=self.seed, predictionCol=f"p{i}", rawPredictionCol=f"r{i}", probabilityCol=f"q{i}"
+            ).fit(d)
+            d = tree.transform(d).withColumn("miss", F.col(f"p{i}") != F.col("label"))
+            got = d.agg(F.sum(F.when(F.col("miss"), F.col("w")).otherwise(0.0)).alias("e"), F.sum("w").alias("w")).head()
+            error = got.e / got.w if got.w else 0.5
+            if error >= 0.5:
+                break
+            alpha = self.rate * math.log((1 - error) / max(error, 1e-10))
+            trees.append((alpha, tree))
+            if error <= 0:
+                break
+            d = d.select("joined", "label", (F.col("w") * F.when(F.col("miss"), math.exp(alpha)).otherwise(1.0) / got.w).alias("w"))
+        for path in at:
+            Store(spark, path).remove("")
+        return AdaBoostModel(joined, trees)
+
+
+class AdaBoostModel:
+    def __init__(self, joined: VectorAssembler, trees: list):
+        self.joined, self.trees = joined, trees
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """Adds probability: the logistic function of the trees' weighted votes, taken as a share of all their weights."""
+        d = self.joined.transform(rows)
+        total, votes = sum(a for a, _ in self.trees), F.lit(0.0)
+        for i, (alpha, tree) in enumerate(self.trees):
+            d = tree.transform(d).drop(f"r{i}", f"q{i}")
+            votes = votes + alpha * (2 * F.col(f"p{i}") - 1)
+        p = 1 / (1 + F.exp(-2 * votes / total)) if total else F.lit(0.5)
+        return d.withColumn("probability", array_to_vector(F.array(1 - p, p))).drop("joined", *[f"p{i}" for i in range(len(self.trees))])
+
+
 #: Name: (estimator, its parameters to draw from).
 MODELS = {
     "logistic": (LogisticRegression, {"regParam": [1e-4, 1e-3, 1e-2], "elasticNetParam": [0.0]}),
     "forest": (RandomForestClassifier, {"numTrees": [50, 100], "maxDepth": [5, 8], "minInstancesPerNode": [1, 5]}),
+    "ada": (AdaBoost, {"rounds": [25, 50], "rate": [0.1, 0.5, 1.0], "depth": [1, 2]}),
     "boosted": (GBTClassifier, {"maxIter": [20, 40], "maxDepth": [3, 5], "stepSize": [0.05, 0.1]}),
 }
 
@@ -51,7 +110,9 @@ def balanced(rows: DataFrame, label: str = "y") -> DataFrame:
     return rows.withColumn("weight", w)
 
 
-def pipeline(name: str, parameters: dict, features: list[str] = FEATURES, label: str = "y") -> Pipeline:
+def pipeline(name: str, parameters: dict, features: list[str] = FEATURES, label: str = "y") -> Pipeline | AdaBoost:
+    if name == "ada":
+        return AdaBoost(features=features, label=label, **parameters)
     seed = {} if name == "logistic" else {"seed": 7}
     est = MODELS[name][0](featuresCol="scaled", labelCol=label, weightCol="weight", **parameters, **seed)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="joined", handleInvalid="skip"), StandardScaler(inputCol="joined", outputCol="scaled", withMean=True), est])

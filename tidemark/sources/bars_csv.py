@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import quality
 from .errors import Corruption, InvalidArgument
@@ -82,3 +83,33 @@ def report(rows: DataFrame) -> dict[str, int]:
     if not r["good"]:
         raise Corruption("no valid row")
     return r
+
+
+def regressions(rows: DataFrame) -> DataFrame:
+    """(file, regressions): how often a row's time lies before that of the row above it in its file. Such rows are counted, not set aside.
+
+    rows: `read`'s with the columns file and place (see `in_file_order`); a file's rows are taken in order of place.
+    """
+    before = F.lag("timestamp_ns").over(Window.partitionBy("file").orderBy("place"))
+    return rows.withColumn("back", F.col("timestamp_ns") < before).groupBy("file").agg(F.count_if("back").alias("regressions"))
+
+
+def in_file_order(raw: DataFrame) -> DataFrame:
+    """Adds file and place, the row's number in file order: parts of a file are read in order of their start, and rows in order within a part."""
+    return raw.select("*", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+
+
+def read_each(spark: SparkSession, paths: list[str], read_one) -> tuple[DataFrame | None, dict[str, str]]:
+    """Every path read by itself with read_one(path); those that fail are left out and given with their errors. Paths are files of one import, not rows."""
+    good, failed = [], {}
+    for path in paths:
+        try:
+            df = read_one(path)
+            df.limit(1).collect()
+            good.append(df)
+        except Exception as e:
+            failed[path] = str(e).splitlines()[0]
+    out = None
+    for df in good:
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out, failed
