@@ -49,6 +49,14 @@ class Store:
         out.write(bytearray(text.encode()))
         out.close()
 
+    def read(self, name: str) -> str:
+        p, fs = self.at(name)
+        opened = fs.open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
+        finally:
+            opened.close()
+
     def put_if_absent(self, name: str, text: str) -> bool:
         """Writes the whole file, or nothing and False if it exists. Atomic where links (local) or renames (HDFS) are; not on plain object stores."""
         temporary = f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}.tmp"

@@ -3,6 +3,7 @@
 A version is one file of JSON lines in `_log`, put there only if absent: of two writers from the same version one succeeds.
 Lines add or remove files, with the bounds of their columns. The state at a version is the last line of each path, found by
 Spark over the log; the driver holds only the paths that a scan selects, and the new files of its own commit.
+Every CHECKPOINT versions the state is also written as Parquet, so that a read takes the last such state and the few log files since.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterable
 from datetime import date, datetime
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -27,8 +28,10 @@ from .storage import Store
 
 LOG = (
     "kind string, version long, parent long, time_ms long, operation string, schema string, spec string, "
-    "path string, bytes long, rows long, part map<string,string>, low map<string,double>, high map<string,double>, low_text map<string,string>, high_text map<string,string>"
+    "path string, bytes long, rows long, part map<string,string>, low map<string,double>, high map<string,double>, low_text map<string,string>, high_text map<string,string>, nulls map<string,long>"
 )
+STATE = ("kind", "bytes", "rows", "part", "low", "high", "low_text", "high_text", "nulls")
+CHECKPOINT = 10
 NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 TIME_FORMATS = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd-HH"}
 
@@ -113,11 +116,15 @@ class VersionedTable:
     def version(self) -> int:
         return max(int(n[:-5]) for n in self.store.names("_log") if n.endswith(".json") and n[0].isdigit())
 
-    def log(self, version: int | None = None) -> DataFrame:
+    def log(self, version: int | None = None, after: int = -1) -> DataFrame:
+        """The lines of the versions up to the given one (the last, if none is), but for those up to `after`."""
         last = self.version() if version is None else version
         names = [n for n in self.store.names("_log") if n.endswith(".json") and n[0].isdigit() and int(n[:-5]) <= last]
         if version is not None and f"{version:020d}.json" not in names:
             raise NotFound(f"version {version}")
+        names = [n for n in names if int(n[:-5]) > after]
+        if not names:
+            return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).json([f"{self.location}/_log/{n}" for n in names])
 
     def history(self) -> DataFrame:
@@ -137,7 +144,27 @@ class VersionedTable:
         bad = h.where("before is not null and (parent <> before or version <> before + 1 or time_ms < then) or before is null and parent <> -1")
         return [f"version {r.version}: parent {r.parent}, before it {r.before}" for r in bad.orderBy("version").collect()]
 
+    def checkpoint(self, version: int | None = None) -> int:
+        """Writes the state of a version, so that later reads need no log file up to it. Which state of two writers counts makes no difference."""
+        version = self.version() if version is None else version
+        folder = f"_states/{version:020d}-{uuid.uuid4().hex}"
+        self.files(version).write.parquet(f"{self.location}/{folder}")
+        schema, spec = self._meta(version)
+        self.store.make("_states")
+        self.store.put_if_absent(f"_states/{version:020d}.json", json.dumps({"folder": folder, "schema": schema.json(), "spec": json.dumps(spec)}))
+        return version
+
+    def _state(self, version: int) -> tuple[int, dict | None]:
+        """The last version up to the given one whose state was written, and where; -1 without one."""
+        known = [int(n[:-5]) for n in self.store.names("_states") if n.endswith(".json")]
+        at = max((v for v in known if v <= version), default=-1)
+        return at, json.loads(self.store.read(f"_states/{at:020d}.json")) if at >= 0 else None
+
     def _meta(self, version: int) -> tuple[StructType, list]:
+        at, state = self._state(version)
+        if state:
+            r = self.log(version, at).where("kind = 'commit' and schema is not null").agg(F.max_by(F.struct("schema", "spec"), "version").alias("m")).head().m or Row(**state)
+            return StructType.fromJson(json.loads(r.schema)), json.loads(r.spec)
         r = self.log(version).where("kind = 'commit' and schema is not null").agg(F.max_by(F.struct("schema", "spec"), "version").alias("m")).head().m
         return StructType.fromJson(json.loads(r.schema)), json.loads(r.spec)
 
@@ -145,8 +172,14 @@ class VersionedTable:
         return self._meta(self.version() if version is None else version)[0]
 
     def files(self, version: int | None = None) -> DataFrame:
-        """Files of a version with their sizes, rows, partition values and bounds."""
-        last = self.log(version).where("kind <> 'commit'").groupBy("path").agg(F.max_by(F.struct("kind", "bytes", "rows", "part", "low", "high", "low_text", "high_text"), "version").alias("x"))
+        """Files of a version with their sizes, rows, partition values, bounds and null counts."""
+        version = self.version() if version is None else version
+        at, state = self._state(version)
+        lines = self.log(version, at).where("kind <> 'commit'").select("path", "version", *STATE)
+        if state:
+            before = self.spark.read.schema(lines.drop("version", "kind").schema).parquet(f"{self.location}/{state['folder']}")
+            lines = lines.unionByName(before.select("*", F.lit("add").alias("kind"), F.lit(at).cast("long").alias("version")))
+        last = lines.groupBy("path").agg(F.max_by(F.struct(*STATE), "version").alias("x"))
         return last.where("x.kind = 'add'").select("path", "x.*").drop("kind")
 
     # Reading
@@ -209,12 +242,13 @@ class VersionedTable:
         for i, c in enumerate(bounded):
             m = _measure(c, kinds[c])
             aggs += [F.min(m).alias(f"low{i}"), F.max(m).alias(f"high{i}")]
+        aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"null{i}") for i, c in enumerate(kinds)]
         lines = []
         for r in written.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggs).collect():
             path = unquote(r.path).split(f"/data/{folder}/", 1)[1]
             names = dict(s.split("=", 1) for s in path.split("/")[:-1])
             line = {"kind": "add", "path": f"{folder}/{path}", "bytes": r.bytes, "rows": r.rows, "part": {k[5:]: unquote(v) for k, v in names.items() if k != "part__group"}}
-            line |= {"low": {}, "high": {}, "low_text": {}, "high_text": {}}
+            line |= {"low": {}, "high": {}, "low_text": {}, "high_text": {}, "nulls": {c: r[f"null{i}"] for i, c in enumerate(kinds)}}
             for i, c in enumerate(bounded):
                 for end, v in (("low", r[f"low{i}"]), ("high", r[f"high{i}"])):
                     if v is None or v != v or (isinstance(v, float) and math.isinf(v)):
@@ -236,6 +270,8 @@ class VersionedTable:
             head |= {"schema": schema.json(), "spec": json.dumps(self._meta(base)[1])}
         while True:
             if self._put(base + 1, {**head, "parent": base}, lines):
+                if (base + 1) % CHECKPOINT == 0:
+                    self.checkpoint(base + 1)
                 return base + 1
             if not rebase or reads_all or schema is not None or self._conflict(base, lines):
                 raise ConcurrentModification(f"version {base + 1} exists")
