@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from tidemark.llm.common import keep, table
+from tidemark.llm.common import discard, keep, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,14 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Language models, signatures and draws are not expressible in SQL; tests/llm compares the stages with brute force.
+#: Language models, signatures and draws are not expressible in SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
     return docs
