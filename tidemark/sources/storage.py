@@ -6,7 +6,7 @@ import os
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -18,6 +18,11 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def checked(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet read with the checksums of its pages verified: a page that has changed fails the read."""
+    return spark.read.option("parquet.page.verify-checksum.enabled", "true").parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
