@@ -3,6 +3,7 @@
 import datetime as dt
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,23 @@ def test_feed_columns(spark):
     assert feed.nearest_rank(q, 0.95).head().latency_us == 10 and feed.nearest_rank(q, 0.5).head().latency_us == 5
     assert feed.latest(q).head().seq == 10
     assert feed.symbols(q, ["x"]).count() == 10
+
+
+def test_correlations_in_blocks(spark):
+    """Many blocks of symbols give what one pair at a time gives, on days that differ from symbol to symbol."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 30)) * 0.01
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7] = 0.5
+    rows = [(f"s{j:02d}", day(i), float(x[i, j])) for i in range(50) for j in range(30) if np.isfinite(x[i, j])]
+    df = spark.createDataFrame(rows, "symbol string, day date, ret double")
+    got = {(r.a, r.b): (r["corr"], r.covar) for r in risk.correlations(df, block=7).collect()}
+    assert len(got) == 30 * 29 // 2
+    for (a, b), (corr, covar) in got.items():
+        u, v = x[:, int(a[1:])], x[:, int(b[1:])]
+        both = np.isfinite(u) & np.isfinite(v)
+        assert covar == pytest.approx(np.cov(u[both], v[both])[0, 1], abs=1e-12)
+        if "s07" in (a, b):
+            assert corr is None
+        else:
+            assert corr == pytest.approx(np.corrcoef(u[both], v[both])[0, 1], abs=1e-9)

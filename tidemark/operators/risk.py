@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,8 +123,50 @@ def report(rets: DataFrame, level: float = 0.95) -> DataFrame:
     return m.join(tail(rets, level), "symbol")
 
 
-def correlations(rets: DataFrame) -> DataFrame:
-    """(a, b, corr, covar): Pearson correlation and sample covariance of every two symbols on their common days."""
-    r = rets.where("ret is not null").select("symbol", "day", "ret")
-    a, b = r.select(F.col("symbol").alias("a"), "day", F.col("ret").alias("x")), r.select(F.col("symbol").alias("b"), "day", F.col("ret").alias("y"))
-    return a.join(b, "day").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.covar_samp("x", "y").alias("covar"))
+BLOCK = 256  # symbols in a block
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For columns of x and y (days in rows, nan: none) over their common days: number, sums, sums of squares and of products."""
+    u, v = np.isfinite(x).astype(float), np.isfinite(y).astype(float)
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    return u.T @ v, x.T @ v, u.T @ y, (x * x).T @ v, u.T @ (y * y), x.T @ y
+
+
+def correlations(rets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, corr, covar): Pearson correlation and sample covariance of every two symbols a < b on their common days.
+
+    Symbols are dealt to blocks, and two blocks' histories meet in one task as matrices: a return is sent once for each block, not
+    paired with every other of its day. Returns are taken less their symbol's mean, which keeps the sums of products exact.
+    """
+    r = rets.where("ret is not null").groupBy("symbol", "day").agg(F.max("ret").alias("ret"))
+    mean = r.groupBy("symbol").agg(F.avg("ret").alias("mean"))
+    n = max(1, math.ceil(mean.count() / block))
+    r = r.join(mean, "symbol").select("symbol", F.unix_date(F.to_date("day")).alias("day"), (F.col("ret") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("symbol"), n).cast("int").alias("own"))
+    r = r.withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("symbol", "day", "x", "own", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"))
+
+    def run(keys: tuple, t: pa.Table) -> pa.Table:
+        names, at = np.unique(np.array(t["symbol"].to_pylist(), object), return_inverse=True)
+        days, on = np.unique(np.asarray(t["day"]), return_inverse=True)
+        own = np.zeros(len(names), int)
+        own[at] = np.asarray(t["own"])
+        m = np.full((len(days), len(names)), np.nan)
+        m[on, at] = np.asarray(t["x"])
+        left, right = (np.flatnonzero(own == k.as_py()) for k in keys)
+        n_, sx, sy, xx, yy, xy = _sums(m[:, left], m[:, right])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            co = xy - sx * sy / n_
+            covar = np.where(n_ > 1, co / (n_ - 1), np.nan)
+            spread = np.sqrt(np.maximum(xx - sx * sx / n_, 0) * np.maximum(yy - sy * sy / n_, 0))
+            corr = np.where(spread > 0, co / spread, np.nan)
+        keep = n_ > 0
+        if keys[0] == keys[1]:
+            keep &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        x, y = np.nonzero(keep)
+        one, two = names[left[x]], names[right[y]]
+        swap = one > two
+        return pa.table(
+            {"a": pa.array(np.where(swap, two, one), pa.string()), "b": pa.array(np.where(swap, one, two), pa.string()), "corr": pa.array(corr[x, y], from_pandas=True), "covar": pa.array(covar[x, y], from_pandas=True)}
+        )
+
+    return r.groupBy("i", "j").applyInArrow(run, "a string, b string, corr double, covar double")
