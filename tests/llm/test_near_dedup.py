@@ -81,3 +81,25 @@ def test_form_letters(spark, n):
     """Every planted pair is one class, though all letters share buckets, and no two letters else are."""
     got = classes(spark, letters(n, n // 2))
     assert got == [i % (n - n // 2) for i in range(n)]
+
+
+def test_parts(monkeypatch):
+    """A group of texts beyond PART_CHARS is compared part by part, with the same links."""
+    import pyarrow as pa
+
+    texts = letters(60, 30)
+    h = [near_dedup.weighted([t]) for t in texts]
+    sig = (np.concatenate([near_dedup.prob_min_hash(*x, 1) for x in h]) >> np.uint64(40)).astype(np.uint16)
+    # Band 0 is given to all, so that every likely pair that shares it is compared here.
+    sig[:, : near_dedup.ROWS] = 1
+    n = len(texts)
+    row = {"bucket": [5] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "node": [f"{i:02d}".encode() for i in range(n)], "root": [f"{i:02d}".encode() for i in range(n)], "sig": [s.tobytes() for s in sig], "band": [0] * n, "text": texts}
+    t = pa.table({k: pa.array(v, pa.binary() if k in ("node", "root", "sig") else None) for k, v in row.items()})
+
+    def links():
+        return {tuple(sorted(p)) for b in near_dedup._join(iter(t.to_batches())) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
+
+    whole = links()
+    assert whole == {(f"{i:02d}".encode(), f"{i + 30:02d}".encode()) for i in range(30)}
+    monkeypatch.setattr(near_dedup, "PART_CHARS", 4000)
+    assert len(near_dedup._parts(texts)) > 10 and links() == whole

@@ -43,6 +43,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.6
+PART_CHARS = 8_000_000  # of texts whose shingles a task holds, twice
 BLOCK = 512  # members of a bucket of several components that meet another such block in one task
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -231,20 +232,38 @@ class Shingles:
         return y[near]
 
 
+def _parts(texts: list[str]) -> list[tuple[int, int]]:
+    """Consecutive ranges of texts of about PART_CHARS characters; a longer text stands alone."""
+    out, first, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > PART_CHARS:
+            out.append((first, i))
+            first, size = i, 0
+        size += len(t)
+    return [*out, (first, len(texts))]
+
+
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _groups(batches):
         if t.num_rows < 2:
             continue
         sig, block, root, band, apart = _members(t)
-        sets, node = Shingles(t["text"].to_pylist()), t["node"].to_pylist()
+        texts, node = t["text"].to_pylist(), t["node"].to_pylist()
         a, b = [], []
-        for x in range(t.num_rows - 1):
-            y = _partners(x, sig, block, root, band, apart)
-            for z in sets.similar(x, y) if len(y) else y:
-                if root[x] != root[z]:
-                    root[root == root[z]] = root[x]
-                    a.append(node[x])
-                    b.append(node[z])
+        # Shingles are held of two parts at a time, so that many long texts need no more memory than many short ones.
+        parts = _parts(texts)
+        for i, (lo, hi) in enumerate(parts):
+            for first, last in parts[i:]:
+                sets = Shingles(texts[lo:hi] + (texts[first:last] if first > lo else []))
+                moved = first - (hi - lo) if first > lo else lo
+                for x in range(lo, hi):
+                    y = _partners(x, sig, block, root, band, apart)
+                    y = y[(y >= first) & (y < last)]
+                    for z in sets.similar(x - lo, y - moved) + moved if len(y) else y:
+                        if root[x] != root[z]:
+                            root[root == root[z]] = root[x]
+                            a.append(node[x])
+                            b.append(node[z])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
