@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.storage import scratch
+from . import resting
 from .features import donchian
 from .fold import ordered_fold
 
@@ -116,33 +118,20 @@ def accounts(accounted: DataFrame, marks: DataFrame, initial: float = 100_000.0)
     return a.join(value, "account").withColumn("equity", F.col("cash") + F.col("asset_value"))
 
 
-def resting_fills(orders: DataFrame, ticks: DataFrame, block_us: int = 3_600_000_000, span: int = 24) -> DataFrame:
+def resting_fills(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     """(order_id, seq, ts_us, fill_price): the first tick at or after an order's time that meets its price; orders never met give no row.
 
     orders: order_id, symbol, ts_us, side, type (LIMIT or STOP), price, qty. ticks: symbol, seq, ts_us, bid, ask.
-    Orders meet the ticks of their own block of time, then the bounds of later blocks of their own span of blocks, then the bounds of later
-    spans and of the blocks of the first one that can fill them, at last the ticks of that block: an order is never paired with
-    all ticks of its symbol, nor with all blocks.
+    Orders and ticks are dealt by ranges of symbol and time, so one symbol goes to many tasks, and each range is walked back in
+    time once. No order is joined with ticks: what grows is only the rows themselves. Orders that their range leaves open meet,
+    in a second walk by symbol, the ticks of later ranges that are first to reach a price.
     """
-    t = ticks.select("symbol", "seq", "ts_us", "bid", "ask", F.floor(F.col("ts_us") / block_us).alias("block"))
-    # What an order waits for: buy limits and sell stops a low price, the others a high one.
-    buy, limit = F.col("side") == "BUY", F.col("type") == "LIMIT"
-    o = orders.select("order_id", "symbol", F.col("ts_us").alias("placed"), F.floor(F.col("ts_us") / block_us).alias("from_block"), "price", buy.alias("buy"), (buy == limit).alias("low"))
-    quote = F.when(F.col("buy"), F.col("ask")).otherwise(F.col("bid"))
-    met = F.when(F.col("low"), quote <= F.col("price")).otherwise(quote >= F.col("price"))
-    first = F.min(F.struct("ts_us", "seq", quote.alias("fill_price"))).alias("x")
-
-    own = o.join(t.withColumnRenamed("block", "from_block"), ["symbol", "from_block"]).where(met & (F.col("ts_us") >= F.col("placed"))).groupBy("order_id").agg(first)
-    bounds = t.groupBy("symbol", "block").agg(F.min("ask").alias("ask_low"), F.max("ask").alias("ask_high"), F.min("bid").alias("bid_low"), F.max("bid").alias("bid_high"))
-    can = F.when(F.col("low"), F.when(F.col("buy"), F.col("ask_low")).otherwise(F.col("bid_low")) <= F.col("price")).otherwise(F.when(F.col("buy"), F.col("ask_high")).otherwise(F.col("bid_high")) >= F.col("price"))
-    bounds = bounds.withColumn("span", F.floor(F.col("block") / span))
-    wide = bounds.groupBy("symbol", "span").agg(F.min("ask_low").alias("ask_low"), F.max("ask_high").alias("ask_high"), F.min("bid_low").alias("bid_low"), F.max("bid_high").alias("bid_high"))
-    open_ = o.join(own.select("order_id"), "order_id", "left_anti").withColumn("span", F.floor(F.col("from_block") / span))
-    block = F.min("block").alias("block")
-    near = open_.join(bounds, ["symbol", "span"]).where((F.col("block") > F.col("from_block")) & can).groupBy("order_id").agg(block)
-    open_ = open_.join(near.select("order_id"), "order_id", "left_anti").withColumnRenamed("span", "from_span")
-    far = open_.join(wide, "symbol").where((F.col("span") > F.col("from_span")) & can).groupBy("order_id").agg(F.min("span").alias("span"))
-    far = open_.drop("from_span").join(far, "order_id").join(bounds, ["symbol", "span"]).where(can).groupBy("order_id").agg(block)
-    later = near.unionByName(far)
-    rest = o.join(later, "order_id").join(t, ["symbol", "block"]).where(met).groupBy("order_id").agg(first)
-    return own.unionByName(rest).select("order_id", "x.seq", "x.ts_us", "x.fill_price")
+    spark = orders.sparkSession
+    r = resting.rows(orders, ticks)
+    # Written, as both walks must see the same ranges.
+    resting.backwards(r.repartitionByRange(*resting.KEYS), last=False).write.parquet(at := scratch(spark, "resting"))
+    walked = spark.read.schema(r.schema).parquet(at)
+    rest = resting.backwards(walked.where(F.col("way") <= resting.TICK).repartition("symbol"), last=True)
+    fills = walked.unionByName(rest).where(F.col("way") == resting.FILL)
+    first = F.min(F.struct("ts_us", "seq", F.col("x").alias("fill_price"))).alias("x")
+    return fills.groupBy("order_id").agg(first).select("order_id", "x.seq", "x.ts_us", "x.fill_price")
